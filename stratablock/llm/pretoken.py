@@ -8,8 +8,10 @@ recur, and only those not in the cache go to the library.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,12 @@ _CUT = re.compile(rf" (?=[^{_BLANK}])")
 _STARTS = re.compile(rf" [^{_BLANK}]")
 
 #: Units in each of the two generations of the cache at most; longer units than this many characters aren't kept.
-CACHE_UNITS, CACHE_CHARS = 300_000, 48
-#: Texts are handled in groups of about so many bytes; unknown units go to the library in strings of about so many units.
-GROUP_BYTES, JOIN_UNITS = 1 << 20, 20_000
+CACHE_UNITS, CACHE_CHARS = 400_000, 48
+#: Texts are handled in groups of about so many bytes.
+GROUP_BYTES = 1 << 20
+# Letters of which every Unicode version knows that they are letters, marks that form one pre-token, and a line's end.
+_MARKS = frozenset(".,!?;:#*$%&|")
+_WORDS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]*))?\Z")
 
 
 def cut_units(text: str) -> list[str]:
@@ -37,6 +42,33 @@ def starts_unit(text: str) -> bool:
     return _STARTS.match(text) is not None
 
 
+def byte_marks() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if visible, else the next one from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Bounded(dict):
+    """A cache of two generations: what the young one lacks comes from the old one, or is made."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class UnitEncoder:
     """ids of texts as little-endian unsigned 16-bit integers (32-bit for large vocabularies)."""
 
@@ -45,63 +77,47 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary
-        vocab = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        self.width = self.kind.itemsize
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that start with a space
-        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.cache_units = cache_units
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _later(self, keys: list[str]) -> list[bytes]:
-        """ids of each key with a space before it, from few long strings: a unit starts where an id starts with a space."""
-        out: list[bytes] = []
-        for i in range(0, len(keys), JOIN_UNITS):
-            part = keys[i : i + JOIN_UNITS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(part):
-                raw, ends = ids.tobytes(), [*(at[1:] * self.width).tolist(), len(ids) * self.width]
-                out += [raw[a:b] for a, b in zip((at * self.width).tolist(), ends)]
-            else:
-                out += self._by_library([" " + k for k in part])
-        return out
+        code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(code).itemsize
+        self.kind = np.dtype(f"<u{self.width}")
+        self._pack = lambda ids: array(code, ids).tobytes()
+        self._model = self.tokenizer.model.tokenize
+        self._marks = byte_marks()
+        self._spaced = _Bounded(self._make_spaced, cache_units)
+        self._bare = _Bounded(self._make_bare, cache_units // 4)
+
+    def _make_bare(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _make_spaced(self, key: str) -> bytes:
+        """ids of the key with a space before it.  Words, marks and line ends in a plain unit are pre-tokens of their own."""
+        if key.isascii():  # the common cases of what follows, without the pattern
+            if key.isalpha():
+                return self._pack([t.id for t in self._model("\u0120" + key)])
+            if key[-1:] in _MARKS and key[:-1].isalpha():
+                return self._spaced[key[:-1]] + self._bare[key[-1]]
+        m = _WORDS.match(key)
+        if m is None:
+            return self._make_bare(" " + key)
+        word, marks, line, then, more = m.groups()
+        if len(word) == len(key):
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._marks)
+            return self._pack([t.id for t in self._model(self._marks[32] + shown)])
+        bare = self._bare
+        return self._spaced[word] + (bare[marks] if marks else b"") + (bare[line] + bare[then] + (bare[more] if more else b"") if line else b"")
 
-    def _fill(self, keys: set[str]) -> list[str]:
-        """Puts all keys into the young generation; returns those to take out again."""
-        need, old = keys.difference(self.young), self.old
-        if len(self.young) + len(need) > self.cache_units:
-            self.old, self.young, need = self.young, {}, keys
-            old = self.old
-        found = need.intersection(old)
-        self.young.update({k: old[k] for k in found})
-        made = list(need - found)
-        plain = [k for k in made if k and " " not in k and not k[0].isspace()]
-        self.young.update(zip(plain, self._later(plain)))
-        if len(plain) < len(made):
-            other = list(set(made).difference(plain))
-            self.young.update(zip(other, self._by_library([" " + k for k in other])))
-        return [k for k in made if len(k) > CACHE_CHARS]
-
-    def encode_units(self, lists: list[list[str]]) -> list[bytes]:
-        firsts = self._by_library([u[0] for u in lists])
-        keys: set[str] = set()
-        for u in lists:
-            keys.update(u)
-        keys.discard("")
-        long = self._fill(keys)
-        get = self.young.__getitem__
-        out = [a + b"".join(map(get, u[1:])) for a, u in zip(firsts, lists)]
-        for k in long:
-            del self.young[k]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get, out = self._spaced.__getitem__, []
+        for t in texts:
+            units = cut_units(t)
+            out.append(self._make_bare(units[0]) + b"".join(map(get, units[1:])))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encode_units([cut_units(t) for t in texts])
+    def count_units(self, units: list[str]) -> np.ndarray:
+        """Tokens of each unit of a text."""
+        sizes = np.fromiter(map(len, map(self._spaced.__getitem__, units)), np.int64, len(units))
+        sizes[0] = len(self._make_bare(units[0]))
+        return sizes // self.width
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -113,6 +129,8 @@ def encoder(path: str) -> UnitEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.freeze()  # millions of short strings follow and no cycles: don't scan what stays
+        gc.set_threshold(200_000, 50, 50)
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
 

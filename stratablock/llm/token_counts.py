@@ -36,7 +36,8 @@ class TokenTree:
         runs = [units[i : i + LEAF_UNITS] for i in range(0, len(units), LEAF_UNITS)]
         self.enc = enc
         self.reencoded = 0
-        self._build([" " * (i > 0) + " ".join(r) for i, r in enumerate(runs)])
+        counts = np.add.reduceat(enc.count_units(units), np.arange(0, len(units), LEAF_UNITS)).tolist()
+        self._build([" " * (i > 0) + " ".join(r) for i, r in enumerate(runs)], counts)
 
     def _count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.enc.width for b in self.enc.encode(texts)]
