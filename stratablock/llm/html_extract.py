@@ -5,7 +5,7 @@ the container a block stands in (navigation, header, footer, aside, form, and
 elements whose class, id or role says advert, notice, sidebar, comments and the
 like), then by link density, length and stop-word density.  Short blocks stay
 open.  Pass two gives an open block the label of its nearest decided neighbour; of
-two at the same distance that differ, the block is not text.  In a page that names
+two at the same distance that differ, text wins.  In a page that names
 its main region, that region's open blocks are text and all outside of it isn't.
 A page without any decided block is text as a whole.
 
@@ -198,7 +198,7 @@ def _second_pass(blocks: list[Block]) -> None:
             elif da != dz:
                 b.label = la if da < dz else lz
             else:
-                b.label = la if la == lz else BAD
+                b.label = max(la, lz)
 
 
 def main_text(page: str) -> str:
