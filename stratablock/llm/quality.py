@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read_table, text_of
 from .pretoken import groups
@@ -172,7 +173,7 @@ def scored(docs: DataFrame, model: Network, text_col: str = "text", score_col: s
     """docs with a score column after their own."""
     names = docs.columns
     place = names.index(text_col)
-    schema = docs.schema.add(score_col, "double")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, place):
