@@ -10,6 +10,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "line_dedup",
+    "decontaminate",
     "quality",
     "html_extract",
     "simhash",

@@ -1,0 +1,78 @@
+import random
+
+import numpy as np
+from stratablock.llm import decontaminate as D
+
+
+def semi_global(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, x in enumerate(text):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def edited(rng, text, n):
+    t = list(text)
+    for _ in range(n):
+        k = rng.randrange(len(t))
+        t[k] = rng.choice(["", t[k] + rng.choice("xyz"), rng.choice("xyz")])
+    return "".join(t)
+
+
+def test_banded_distance():
+    rng = random.Random(1)
+    for _ in range(150):
+        item = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30)))
+        text = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
+        got, _ = D.banded_distance(item, text, -len(item), len(text))
+        assert got == semi_global(item, text)
+
+
+def test_nothing_within_the_budget_is_missed():
+    rng = random.Random(2)
+    items = [(i, D.normalised(words(rng, rng.choice([1, 2, 4, 12, 40])))) for i in range(25)] + [(90, b"")]
+    index = D.BenchmarkIndex(items)
+    for _ in range(120):
+        parts = [words(rng, rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            i, t = rng.choice(items[:25])
+            parts += [edited(rng, t.decode(), rng.randint(0, max(1, len(t) // 6))), words(rng, rng.randint(0, 20))]
+        text = D.normalised(" ".join(parts))
+        want = set()
+        for k, (i, t) in enumerate((i, t) for i, t in items if t):
+            if semi_global(t, text) <= int(index.edits[k]) and (len(t) >= D.Q or t in text):
+                want.add(i)
+        assert {i for i, _, _ in index.matches(text)} == want
+
+
+def test_frame(spark, documents, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, words(rng, 25)) for i in range(6)] + [(None, words(rng, 30)), (50, ""), (51, None), (3, words(rng, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, None), (2, ""), (3, words(rng, 60)), (4, words(rng, 20) + "  " + items[2][1].upper() + "\n" + words(rng, 9)), (4, items[2][1]), (5, words(rng, 120_000) + " " + items[1][1] + " " + words(rng, 50_000))]
+    for limit in (D.SLICE_BYTES, 200):
+        monkeypatch.setattr(D, "SLICE_BYTES", limit)
+        out = D.decontaminate(documents(rows), bench)
+        assert out.columns[:-1] == documents(rows).columns
+        got = sorted((r.doc_id, len(r.text or ""), sorted(m.item_id for m in r.matches)) for r in out.collect())
+        assert got == sorted((i, len(t or ""), {4: [2], 5: [1]}.get(i, [])) for i, t in rows)
+    assert D.decontaminate(documents([]), bench).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r.matches for r in D.decontaminate(documents(rows[:2]), none).collect()] == [[], []]
+
+
+def test_long_text_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    item = D.normalised(words(rng, 30))
+    index = D.BenchmarkIndex([(7, item)])
+    monkeypatch.setattr(D, "PIECE", 700)
+    filler = D.normalised(words(rng, 900))
+    for at in np.linspace(0, len(filler), 60).astype(int).tolist():
+        assert [m[0] for m in index.matches(filler[:at] + b" " + item + b" " + filler[at:])] == [7]
