@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,8 +22,8 @@ _ODD = re.compile(rf" (?:[{_BLANK}]|\Z)")
 _CUT = re.compile(rf" (?=[^{_BLANK}])")
 _STARTS = re.compile(rf" [^{_BLANK}]")
 
-#: Units in each of the two generations of the cache at most; longer units than this many characters aren't kept.
-CACHE_UNITS, CACHE_CHARS = 400_000, 48
+#: Units in the cache at most; longer units than this many characters aren't kept.
+CACHE_UNITS, CACHE_CHARS = 700_000, 48
 #: Texts are handled in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
 # Letters of which every Unicode version knows that they are letters, marks that form one pre-token, and a line's end.
@@ -50,22 +49,22 @@ def byte_marks() -> dict[int, str]:
 
 
 class _Bounded(dict):
-    """A cache of two generations: what the young one lacks comes from the old one, or is made."""
+    """A cache that takes what comes until it is full: frequent units come early.  It starts anew after many misses."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.most = make, most
-        self.old: dict[str, bytes] = {}
+        self.make, self.most, self.missed = make, most, 0
 
     def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= self.most:
-                self.old = dict(self)
+        value = self.make(key)
+        if len(self) < self.most:
+            if len(key) <= CACHE_CHARS:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 8 * self.most:
                 self.clear()
-            self[key] = value
+                self.missed = 0
         return value
 
 
@@ -77,23 +76,24 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary
-        code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.width = array(code).itemsize
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self._pack = lambda ids: array(code, ids).tobytes()
+        self._packed = [i.to_bytes(self.width, "little") for i in range(size)]
         self._model = self.tokenizer.model.tokenize
         self._marks = byte_marks()
         self._spaced = _Bounded(self._make_spaced, cache_units)
         self._bare = _Bounded(self._make_bare, cache_units // 4)
 
     def _make_bare(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def _make_spaced(self, key: str) -> bytes:
         """ids of the key with a space before it.  Words, marks and line ends in a plain unit are pre-tokens of their own."""
         if key.isascii():  # the common cases of what follows, without the pattern
             if key.isalpha():
-                return self._pack([t.id for t in self._model("\u0120" + key)])
+                packed = self._packed
+                return b"".join([packed[t.id] for t in self._model("\u0120" + key)])
             if key[-1:] in _MARKS and key[:-1].isalpha():
                 return self._spaced[key[:-1]] + self._bare[key[-1]]
         m = _WORDS.match(key)
@@ -102,7 +102,8 @@ class UnitEncoder:
         word, marks, line, then, more = m.groups()
         if len(word) == len(key):
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._marks)
-            return self._pack([t.id for t in self._model(self._marks[32] + shown)])
+            packed = self._packed
+            return b"".join([packed[t.id] for t in self._model(self._marks[32] + shown)])
         bare = self._bare
         return self._spaced[word] + (bare[marks] if marks else b"") + (bare[line] + bare[then] + (bare[more] if more else b"") if line else b"")
 
