@@ -10,6 +10,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
+    "unigram",
     "line_dedup",
     "decontaminate",
     "quality",
