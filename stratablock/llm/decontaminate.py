@@ -51,9 +51,10 @@ def grams(text: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", text, 0, (1,)) if n > 0 else np.zeros(0, "<u8")
 
 
-def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int]:
+def banded_distance(item: bytes, text: bytes, low: int, high: int, most: int | None = None) -> tuple[int, int]:
     """The fewest edits that turn item into a piece of text, and where that piece starts to be looked for,
-    over alignments whose diagonals (place in text less place in item) stay within low..high."""
+    over alignments whose diagonals (place in text less place in item) stay within low..high.
+    Given ``most``, it stops once more edits than that are certain."""
     d = np.arange(low, high + 1)
     far = len(item) + len(text) + 1
     p = np.frombuffer(item, np.uint8)
@@ -68,6 +69,8 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int) -> tuple[int,
         step = row + (window != p[i]) + np.where((at < 0) | (at >= len(text)), far, 0)
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
         row = np.minimum.accumulate(step - place) + place
+        if most is not None and i % 8 == 7 and row.min() > most:
+            return far, 0
     best = int(row.argmin())
     return int(min(row[best], far)), max(0, low + best)
 
@@ -97,7 +100,7 @@ class BenchmarkIndex:
         return (codes * _MULTIPLIER) >> np.uint64(64 - _TABLE_BITS)
 
     def _bands(self, text: bytes) -> list[tuple[int, int]]:
-        """(item, lowest diagonal) of bands with enough shared q-grams."""
+        """(item, lowest diagonal) of bands with enough shared q-grams, those with most of them first."""
         codes = grams(text)
         hits = np.flatnonzero(self.table[self._slot(codes)])
         if not len(hits) or not len(self.codes):
@@ -110,7 +113,9 @@ class BenchmarkIndex:
         item, diagonal = self.owner[run], np.repeat(hits, many) - self.place[run]
         width = self.edits[item] + 1
         band = (diagonal + self.longest) // width
-        key, count = np.unique(item * (1 << 40) + band, return_counts=True)
+        # a q-gram of the item counts once in a band, however often the text repeats it
+        once = np.unique(((item << 32) + band) * (self.longest + 1) + self.place[run])
+        key, count = np.unique(once // (self.longest + 1), return_counts=True)
         # the band that starts at each key covers it and the next one
         follows = np.zeros(len(key), np.int64)
         follows[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
@@ -120,22 +125,25 @@ class BenchmarkIndex:
         starts.append((key[lone] - 1, count[lone]))
         out = []
         for k, c in starts:
-            enough = c >= self.bound[(k + 1) >> 40] if len(k) else np.zeros(0, bool)
-            for x in k[enough].tolist():
-                i = (x + 1) >> 40
-                out.append((i, (x - (i << 40)) * int(self.edits[i] + 1) - self.longest))
-        return out
+            enough = c >= self.bound[(k + 1) >> 32] if len(k) else np.zeros(0, bool)
+            for x, shared in zip(k[enough].tolist(), c[enough].tolist()):
+                i = (x + 1) >> 32
+                out.append((-shared, i, (x - (i << 32)) * int(self.edits[i] + 1) - self.longest))
+        return [(i, low) for _, i, low in sorted(out)]
 
     def _piece(self, text: bytes) -> dict[int, tuple[int, int]]:
         found: dict[int, tuple[int, int]] = {}
         for i, low in self._bands(text):
             item, e = self.texts[i], int(self.edits[i])
-            if i in found and found[i][1] == 0:
+            if i in found:
                 continue
             begin = max(0, low - e)
             window = text[begin : low + 2 * (e + 1) + len(item) + e]
-            distance, at = banded_distance(item, window, low - e - begin, low + 2 * (e + 1) + e - begin)
-            if distance <= e and (i not in found or distance < found[i][1]):
+            if (at := window.find(item)) >= 0:
+                found[i] = (begin + at, 0)
+                continue
+            distance, at = banded_distance(item, window, low - e - begin, low + 2 * (e + 1) + e - begin, e)
+            if distance <= e:
                 found[i] = (max(0, begin + at), distance)
         for i in self.short:
             if (at := text.find(self.texts[i])) >= 0:
@@ -143,7 +151,7 @@ class BenchmarkIndex:
         return found
 
     def matches(self, text: bytes) -> list[Match]:
-        """The items that occur in text, each with its best occurrence."""
+        """The items that occur in text, each with one occurrence: in each piece, that in the band of most shared q-grams."""
         best: dict[int, tuple[int, int]] = {}
         for begin in range(0, max(1, len(text)), PIECE):
             for i, (at, distance) in self._piece(text[begin : begin + PIECE + 2 * self.longest]).items():
