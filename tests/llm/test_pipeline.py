@@ -1,0 +1,100 @@
+import os
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from stratablock.llm.quality import train
+from tests.llm.test_line_dedup import plain
+from tests.llm.test_simhash import plain_components, plain_shingles
+
+
+def word(rng):
+    return "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in"]) for _ in range(rng.randint(1, 4)))
+
+
+def sentence(rng, n):
+    return " ".join(word(rng) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(240):
+        text = "\n".join(sentence(rng, rng.randint(10, 60)) for _ in range(rng.randint(1, 6)))
+        if i % 6 == 5:
+            text = " ".join(w.upper() + "!!" for w in text.split())
+        rows.append([i, text])
+        labels.append((i, int(i % 6 != 5), 0))
+    items = [(k, sentence(rng, 30)) for k in range(5)]
+    rows[10][1] += "\n" + items[2][1].title()
+    rows[16][1] = sentence(rng, 12) + " " + items[4][1] + " " + sentence(rng, 5)
+    passage = "\n".join(sentence(rng, 20) for _ in range(3))
+    rows[20][1] += "\n" + passage
+    rows[21][1] = passage + "\n" + rows[21][1]
+    base = sentence(rng, 200).split()
+    for k, i in enumerate((30, 31, 32, 33)):
+        w = list(base)
+        w[50 * k + 3] = f"edit{k}"
+        rows[i][1] = " ".join(w)
+    rows += [[40, rows[40][1]], [300, rows[42][1]], [301, ""], [302, None], [None, sentence(rng, 40)]]
+    d = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_stages(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    stages = dict(P.STAGES)
+    assert list(stages) == ["quality", "line_dedup", "near_duplicates", "decontamination", "encoding"]
+
+    good = P.cut(stages["quality"](spark, docs, tables), "t")
+    model = train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    want = [(i, t) for i, t in rows_of(docs) if model.scores([(t or "").encode()])[0] >= P.THRESHOLD]
+    assert rows_of(good) == want and good.columns == list(P.COLUMNS)
+    kept = {i for i, _ in want}
+    assert np.mean([(i in kept) == (i % 6 != 5) for i in range(240)]) > 0.97
+
+    lines = P.cut(stages["line_dedup"](spark, good, tables), "t")
+    source = rows_of(good)
+    gone = dict(zip([i for i, _ in source], plain(source, 30)))
+    for i, t in rows_of(lines):
+        if t is not None and i != 40:
+            assert len([x for x in t.split("\n") if x.strip()]) == len([x for x in dict(source)[i].split("\n") if x.strip()]) - len(gone[i])
+    assert lines.columns == list(P.COLUMNS) and lines.filter("n_chars <> length(text)").count() == 0
+
+    near = P.cut(stages["near_duplicates"](spark, lines, tables), "t")
+    source = rows_of(lines)
+    sets = [set(plain_shingles(t or "", 5)) for _, t in source]
+    roots = plain_components(len(source), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = {}
+    for (i, _), r in zip(source, roots):
+        groups.setdefault(r, set()).add(i)
+    want = {min((i for i in g if i is not None), default=None) for g in groups.values()}
+    assert {i for i, _ in rows_of(near)} == want
+    assert {30, 31, 32, 33} & want == {30}
+
+    clean = P.cut(stages["decontamination"](spark, near, tables), "t")
+    assert {i for i, _ in rows_of(near)} - {i for i, _ in rows_of(clean)} == {10, 16}
+
+    coded = stages["encoding"](spark, clean, tables).collect()
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in coded)
+    assert sorted((r.doc_id for r in coded), key=str) == sorted((i for i, _ in rows_of(clean)), key=str)
+
+
+def test_run(spark, tables):
+    assert P.run(spark, tables).filter("round_trip").count() > 150
+
+
+def test_run_on_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(os.path.join(tables, f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
