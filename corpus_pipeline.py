@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = found.filter("_class is not null").groupBy("_class").agg(F.min(F.when(F.col("_id") == F.col("_class"), F.col("_text_hash"))).alias("_text_hash"))
     stays = first.select(F.col("_class").alias("_id"), "_text_hash").unionByName(alone).distinct()
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(cut(stays, "stays"), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_text_hash")), "left_semi")
+    kept = docs.join(cut(stays, "stays").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_text_hash")), "left_semi")
     return kept.select(*COLUMNS)
 
 

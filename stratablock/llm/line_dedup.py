@@ -90,12 +90,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(*keyed, F.col(text_col).alias("_text")).filter("_text is not null")
     found = cut(texts.mapInArrow(cut_up, _WINDOWS), "line-windows")
     shared = found.groupBy("selected").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("selected")
-    met = found.join(cut(shared, "selected-lines"), "selected", "left_semi")
+    # merge joins at every size: the same plan for a test table and a large one, and one that splits hot keys
+    met = found.join(cut(shared, "selected-lines").hint("merge"), "selected", "left_semi")
     place = F.struct("_id", "_text_hash", "first", "last")
     firsts = cut(met.groupBy("content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("content", "earliest"), "first-runs")
-    later = found.join(firsts, "content").filter(~place.eqNullSafe(F.col("earliest")))
+    later = found.join(firsts.hint("merge"), "content").filter(~place.eqNullSafe(F.col("earliest")))
     repeats = later.groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    rep = cut(repeats, "repeats").select(F.col("_id").alias("_rep_id"), F.col("_text_hash").alias("_rep_hash"), "_spans")
+    rep = cut(repeats, "repeats").select(F.col("_id").alias("_rep_id"), F.col("_text_hash").alias("_rep_hash"), "_spans").hint("merge")
 
     names = docs.columns
     at = names.index(text_col)

@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     chosen = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("_id", "_text_hash")).alias("r")).select("fp", "r.*")
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
-    rows = texts.join(chosen, texts["_id"].eqNullSafe(chosen["_id"]) & (texts["_text_hash"] == chosen["_text_hash"])).select("fp", "_text").dropDuplicates(["fp"])
+    rows = texts.join(chosen.hint("merge"), texts["_id"].eqNullSafe(chosen["_id"]) & (texts["_text_hash"] == chosen["_text_hash"])).select("fp", "_text").dropDuplicates(["fp"])
     sets = cut(rows.mapInArrow(shingle_sets, "fp binary, shingles array<long>"), "shingle-sets")
     both = open_.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
