@@ -1 +1,6 @@
 """Row-block tables for Spark."""
+
+from .api import file_schema, num_records, read, read_arrow, read_batches, register, register_view, scan, write, write_columns, write_sql
+from .sources.fields import Field
+
+__all__ = ["Field", "file_schema", "num_records", "read", "read_arrow", "read_batches", "register", "register_view", "scan", "write", "write_columns", "write_sql"]

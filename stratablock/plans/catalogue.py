@@ -1,11 +1,327 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+``rt_`` queries write a table to row-block files, read it back and return it.  Queries
+on SQL features run over the tables themselves: those are Spark's own.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..api import file_schema, num_records, register_view, scan, write, write_sql
+from ..functions import convert as C
+from ..functions.names import unique_names
+from ..operators import schemas
+from ..sources.fields import Field, from_spark
+from .scratch import scratch_path
+
+Query = Callable[[SparkSession, str], DataFrame]
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def over_tables(query: str) -> Query:
+    """A query in which {name} stands for a table."""
+    used = [t for t in TABLES if f"{{{t}}}" in query]
+    return lambda spark, sf_dir: spark.sql(query, **{t: table(spark, sf_dir, t) for t in used})
+
+
+def same(query: str) -> tuple[Query, str]:
+    """A query that both engines take as it is."""
+    return over_tables(query), re.sub(r"\{(\w+)\}", r"\1", query)
+
+
+def stored(df: DataFrame, label: str, ordered: bool = False, **options) -> str:
+    """Writes df to row-block files; returns their path.  Ordered: one partition, so that record numbers are those of df."""
+    path = scratch_path(df.sparkSession, label)
+    write(df, path, single_file=ordered, **options)
+    return path
+
+
+def round_trip(name: str, *columns: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, name)
+        return scan(spark, stored(df, name), list(columns) or df.columns)
+
+    return run
+
+
+def conversion(name: str, keys: list[str], value: Callable[[DataFrame], DataFrame], source: Field, target: Field, out: str) -> Query:
+    """A column ``v`` of the source's type goes through files as such, is converted, and goes through files again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = value(table(spark, sf_dir, name))
+        df = df.select(*keys, F.col("v").alias("v", metadata=source.spark().metadata))
+        back = scan(spark, stored(df, f"{name}-in"))
+        fields = {f.name: f for f in file_schema_of(back)}
+        made = C.convert_table(back, list(fields.values()), [*[fields[k] for k in keys], Field(out, target.type, target.size, target.scale)], {k: k for k in keys} | {out: "v"})
+        return scan(spark, stored(made, f"{name}-out"))
+
+    return run
+
+
+def file_schema_of(df: DataFrame) -> list[Field]:
+    return from_spark(df.schema)
+
+
+def rt_orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "orders"), "orders")
+    return scan(spark, path, ["o_orderstatus", "o_totalprice"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def predicate_and_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "events")
+    return scan(spark, path, ["value", "event_type"]).filter("value >= 100 AND event_type = 'purchase'").select("value")
+
+
+def predicate_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, stored(table(spark, sf_dir, "supplier"), "supplier"), ["s_suppkey", "s_name", "s_acctbal"]).filter("s_acctbal > 1000")
+
+
+def limit_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "part").orderBy("p_partkey"), "part", ordered=True)
+    return scan(spark, path, ["p_partkey", "p_name"], limit=100)
+
+
+def offset_limit_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "orders").orderBy("o_orderkey"), "orders", ordered=True)
+    return scan(spark, path, ["o_orderkey"], offset=10, limit=20)
+
+
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey"), "orders", ordered=True)
+    return scan(spark, path, row_index="number")
+
+
+def header_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "lineitem")
+    return spark.range(1).select(F.lit(num_records(path)).cast("bigint").alias("n"))
+
+
+def view_query(name: str, query: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        view = f"view_{name}"
+        register_view(spark, view, stored(table(spark, sf_dir, name), name))
+        return spark.sql(query.format(view))
+
+    return run
+
+
+def ctas_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_view(spark, "view_customer", stored(table(spark, sf_dir, "customer"), "customer"))
+    path = scratch_path(spark, "rich")
+    write_sql(spark, "SELECT c_custkey, c_acctbal FROM view_customer WHERE c_acctbal > 7500", path)
+    return scan(spark, path)
+
+
+def stored_sql(label: str, query: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        write(over_tables(query)(spark, sf_dir), path)
+        return scan(spark, path)
+
+    return run
+
+
+def literals(label: str, values: list[str], made: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = stored(spark.createDataFrame([(v,) for v in values], "s string"), label)
+        return made(scan(spark, path))
+
+    return run
+
+
+def empty_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, stored(table(spark, sf_dir, "nation").filter("false"), "nothing"))
+
+
+def colliding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that differs from another in case only is replaced; its data stay."""
+    df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toDF("Key", "key")
+    path = scratch_path(spark, "names")
+    write(df, path)
+    return scan(spark, path)
+
+
+def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = file_schema(stored(table(spark, sf_dir, "orders").limit(1), "orders"))
+    rows = [(k, f.name, f.type, f.size, f.scale, schemas.is_a(f, "numeric"), schemas.is_a(f, "date")) for k, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "number int, name string, type string, size int, scale int, is_numeric boolean, is_date boolean")
+
+
+def several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(table(spark, sf_dir, "customer").repartition(3, "c_custkey"), "customers")
+    return scan(spark, path, ["c_custkey", "c_name"])
+
+
+def uncompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, stored(table(spark, sf_dir, "part"), "part", compression="none"))
+
+
+def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(12,2)").alias("balance"))
+    return scan(spark, stored(df, "decimals"), exact_decimals=True)
+
+
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.double_to_string(F.col("o_totalprice")).alias("s"))
+
+
+def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*table(spark, sf_dir, "nation").columns, "N_NAME", "", "x", "X", "X", "F2", "f2"]
+    return spark.createDataFrame(list(enumerate(unique_names(names))), "number int, name string")
+
+
+DATES = ["2024-02-29", "2023-02-29", "1399-12-31", "2024-13-01", "2024-1-5", "1900-02-29"]
+TIMES = ["23:59:59", "24:00:00", "12:60:00", "1:00:00"]
+TEXT = Field("v", "V_WString", 200)
+
+#: name: (query, DuckDB SQL or None)
+CATALOGUE: dict[str, tuple[Query, str | None]] = {
+    "rt_orders_by_status": (rt_orders_by_status, "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"),
+    "rt_scan_orders": (round_trip("orders"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, date_trunc('second', o_orderdate) AS o_orderdate, o_orderpriority FROM orders"),
+    "rt_scan_lineitem": (round_trip("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"), "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem"),
+    "rt_scan_events_seconds": (round_trip("events"), "SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, props FROM events"),
+    "rt_scan_documents_unicode": (round_trip("documents"), "SELECT doc_id, text, lang, source, n_chars FROM documents"),
+    "rt_scan_pages_html": (round_trip("pages"), "SELECT page_id, url, html FROM pages"),
+    "rt_several_files": (several_files, "SELECT c_custkey, c_name FROM customer"),
+    "rt_uncompressed": (uncompressed, "SELECT * FROM part"),
+    "rt_empty_result": (empty_with_schema, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE false"),
+    "rt_exact_decimals": (exact_decimals, "SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12,2)) AS balance FROM supplier"),
+    "rt_colliding_names": (colliding_names, "SELECT n_nationkey AS \"Key\", n_name AS key2 FROM nation"),
+    "projection_reordered": (round_trip("customer", "c_mktsegment", "c_acctbal", "c_custkey"), "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer"),
+    "predicate_gt": (predicate_gt, "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 1000"),
+    "predicate_and_projection": (predicate_and_projection, "SELECT value FROM events WHERE value >= 100 AND event_type = 'purchase'"),
+    "limit_prefix": (limit_prefix, "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 100"),
+    "offset_limit_slice": (offset_limit_slice, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 10"),
+    "row_numbers": (row_numbers, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS number FROM orders"),
+    "header_count": (header_count, "SELECT count(*) AS n FROM lineitem"),
+    "sum_view": (view_query("customer", "SELECT round(sum(c_acctbal), 2) AS total FROM {}"), "SELECT round(sum(c_acctbal), 2) AS total FROM customer"),
+    "count_where_view": (view_query("events", "SELECT count(*) AS n FROM {} WHERE value > 90"), "SELECT count(*) AS n FROM events WHERE value > 90"),
+    "ctas_filter": (ctas_filter, "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 7500"),
+    "range_alias": (stored_sql("range", "SELECT id AS i, id * 2 AS dbl FROM range(10)"), "SELECT range AS i, range * 2 AS dbl FROM range(10)"),
+    "literal_select": (stored_sql("literal", "SELECT 'hello' AS msg, 42 AS num"), "SELECT 'hello' AS msg, 42 AS num"),
+    "null_vs_empty": (
+        stored_sql("empty", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN '' ELSE event_type END AS s FROM {events}"),
+        "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN '' ELSE event_type END AS s FROM events",
+    ),
+    "conv_double_to_int": (
+        conversion("orders", ["o_orderkey"], lambda d: d.withColumn("v", F.col("o_totalprice")), Field("v", "Double"), Field("v", "Int64"), "v"),
+        "SELECT o_orderkey, CAST(trunc(o_totalprice + CASE WHEN o_totalprice < 0 THEN -0.5 ELSE 0.5 END) AS BIGINT) AS v FROM orders",
+    ),
+    "conv_int_to_byte_null": (
+        conversion("documents", ["doc_id"], lambda d: d.withColumn("v", F.col("n_chars")), Field("v", "Int64"), Field("v", "Byte"), "b"),
+        "SELECT doc_id, CAST(CASE WHEN n_chars BETWEEN 0 AND 255 THEN n_chars END AS SMALLINT) AS b FROM documents",
+    ),
+    "conv_string_to_bool": (
+        conversion("events", ["event_id"], lambda d: d.withColumn("v", F.col("event_type")), TEXT, Field("v", "Bool"), "b"),
+        "SELECT event_id, regexp_matches(event_type, '^[1-9Tt]') AS b FROM events",
+    ),
+    "conv_bool_to_string": (
+        conversion("events", ["event_id"], lambda d: d.withColumn("v", F.col("value") > 100), Field("v", "Bool"), TEXT, "s"),
+        "SELECT event_id, CASE WHEN value > 100 THEN 'True' WHEN NOT value > 100 THEN 'False' END AS s FROM events",
+    ),
+    "conv_prefix_int": (
+        conversion("events", ["event_id"], lambda d: d.withColumn("v", F.regexp_extract("props", "([0-9].*)", 1)), TEXT, Field("v", "Int32"), "k"),
+        "SELECT event_id, TRY_CAST(nullif(regexp_extract(regexp_extract(props, '([0-9].*)', 1), '^([0-9]+)', 1), '') AS INTEGER) AS k FROM events",
+    ),
+    "conv_hex_int": (
+        conversion("part", ["p_partkey"], lambda d: d.withColumn("v", F.concat(F.lit("0x"), F.hex("p_partkey"))), TEXT, Field("v", "Int64"), "v"),
+        "SELECT p_partkey, p_partkey AS v FROM part",
+    ),
+    "conv_string_to_double": (
+        conversion("customer", ["c_custkey"], lambda d: d.withColumn("v", F.concat(F.lit("  "), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit(" EUR"))), TEXT, Field("v", "Double"), "x"),
+        "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS x FROM customer",
+    ),
+    "conv_datetime_to_date": (
+        conversion("orders", ["o_orderkey"], lambda d: d.withColumn("v", F.col("o_orderdate")), Field("v", "DateTime"), Field("v", "Date"), "d"),
+        "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
+    ),
+    "conv_datetime_to_time": (
+        conversion("events", ["event_id"], lambda d: d.withColumn("v", F.col("ts")), Field("v", "DateTime"), Field("v", "Time"), "t"),
+        "SELECT event_id, strftime(ts, '%H:%M:%S') AS t FROM events",
+    ),
+    "conv_date_to_datetime": (
+        conversion("lineitem", ["l_orderkey", "l_linenumber"], lambda d: d.withColumn("v", F.col("l_shipdate").cast("date")), Field("v", "Date"), Field("v", "DateTime"), "ts"),
+        "SELECT l_orderkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts FROM lineitem",
+    ),
+    "conv_date_validate": (
+        literals("dates", DATES, lambda d: d.select("s", C.string_to_date(F.col("s")).alias("d"))),
+        "SELECT s, CASE WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(s AS DATE) >= DATE '1400-01-01' THEN TRY_CAST(s AS DATE) END AS d FROM (VALUES " + ", ".join(f"('{x}')" for x in DATES) + ") v(s)",
+    ),
+    "conv_time_validate": (
+        literals("times", TIMES, lambda d: d.select("s", C.is_time(F.col("s")).alias("ok"))),
+        "SELECT s, regexp_matches(s, '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$') AS ok FROM (VALUES " + ", ".join(f"('{x}')" for x in TIMES) + ") v(s)",
+    ),
+    "conv_blob_to_string": (
+        conversion("documents", ["doc_id"], lambda d: d.withColumn("v", F.encode("text", "UTF-8")), Field("v", "Blob"), TEXT, "s"),
+        "SELECT doc_id, concat(octet_length(encode(text)), ' Bytes') AS s FROM documents",
+    ),
+    "string_truncate": (
+        conversion("customer", ["c_custkey"], lambda d: d.withColumn("v", F.col("c_name")), TEXT, Field("v", "V_WString", 8), "s"),
+        "SELECT c_custkey, substr(c_name, 1, 8) AS s FROM customer",
+    ),
+    "comma_decimal": (
+        lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", C.convert(F.col("c_acctbal"), Field("c_acctbal", "FixedDecimal", 20, 2), TEXT, ",").alias("s")),
+        "SELECT c_custkey, translate(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '.,', ',.') AS s FROM customer",
+    ),
+    "number_texts": (number_texts, None),
+    "field_names": (field_names, None),
+    "schema_listing": (schema_listing, None),
+    "join_inner": same("SELECT n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "join_left": same("SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey"),
+    "join_full": same("SELECT c_custkey, s_suppkey FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey * 20"),
+    "join_semi": same("SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 480000)"),
+    "join_anti": same("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 480000)"),
+    "join_theta": same("SELECT a.r_name AS a, b.r_name AS b FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey"),
+    "agg_group": same("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM {lineitem} GROUP BY ALL"),
+    "agg_having": same("SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12"),
+    "agg_statistics": same("SELECT o_orderstatus, round(avg(o_totalprice), 2) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(stddev_samp(o_totalprice), 2) AS sd, count(*) FILTER (WHERE o_totalprice > 100000) AS many FROM {orders} GROUP BY o_orderstatus"),
+    "agg_distinct": same("SELECT event_type, count(DISTINCT user_id) AS u FROM {events} GROUP BY event_type"),
+    "agg_rollup": same("SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP(l_returnflag, l_linestatus)"),
+    "agg_cube": same("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE(o_orderstatus, o_orderpriority)"),
+    "agg_grouping_sets": same("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))"),
+    "window_rank": same("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM {orders}"),
+    "window_frame": same("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM {events}"),
+    "window_lag": same("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}"),
+    "topk": same("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    "set_union": same("SELECT n_nationkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region}"),
+    "set_intersect": same("SELECT n_nationkey AS k FROM {nation} INTERSECT SELECT r_regionkey FROM {region}"),
+    "set_except": same("SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT r_regionkey FROM {region}"),
+    "cte_subquery": same("WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM {orders} GROUP BY o_custkey) SELECT c_custkey, m FROM {customer} JOIN big ON c_custkey = o_custkey WHERE m > (SELECT avg(o_totalprice) FROM {orders})"),
+    "scalar_text": same("SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, replace(c_name, '#', '-') AS r FROM {customer}"),
+    "join_asof": (
+        lambda spark, sf_dir: as_of(table(spark, sf_dir, "events")),
+        "SELECT p.event_id AS pid, e.event_id AS eid FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'signup') e ON p.user_id = e.user_id AND p.ts >= e.ts",
+    ),
+    "pivot_counts": (
+        over_tables("SELECT * FROM (SELECT l_returnflag, l_linestatus FROM {lineitem}) PIVOT (count(*) FOR l_linestatus IN ('O' AS open, 'F' AS filled))"),
+        "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_linestatus = 'F') AS filled FROM lineitem GROUP BY l_returnflag",
+    ),
+}
+
+
+def as_of(events: DataFrame) -> DataFrame:
+    """For each purchase, its user's latest signup until then: one window over both, no join."""
+    from pyspark.sql import Window
+
+    both = events.filter("event_type IN ('purchase', 'signup')")
+    before = Window.partitionBy("user_id").orderBy("ts", F.expr("event_type = 'purchase'")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    latest = both.withColumn("eid", F.last(signup, ignorenulls=True).over(before))
+    return latest.filter("event_type = 'purchase' AND eid IS NOT NULL").select(F.col("event_id").alias("pid"), "eid")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
