@@ -65,7 +65,7 @@ def string_to_double(c: Column, separator: str = ".") -> Column:
     return F.nullif(F.translate(found, "dD", "ee"), F.lit("")).try_cast("double")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def double_to_string(values: pd.Series) -> pd.Series:
     """15 significant digits, without trailing zeros; exponents from 1e15 on and below 1e-4."""
 
@@ -82,7 +82,7 @@ def double_to_string(values: pd.Series) -> pd.Series:
 def double_to_fixed(size: int, scale: int):
     """As by C's printf: the exact binary value decides, not its shortest decimal form."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def fixed(values: pd.Series) -> pd.Series:
         texts = values.map(lambda x: f"{x:.{scale}f}", na_action="ignore").astype(object)
         return texts.where(values.notna() & (texts.map(lambda t: len(t) if isinstance(t, str) else 0) <= size), None)

@@ -130,6 +130,6 @@ def from_xml(text: str) -> list[Field]:
                 size, _, scale = size.partition(".")
             elif scale is None:
                 raise ValueError(f"{e.get('name')!r}: FixedDecimal needs a scale")
-        sized = kind not in FIXED_WIDTH
+        sized = kind not in FIXED_WIDTH and not (kind in BINARY and size == str(MAX_LENGTH))
         out.append(Field(e.get("name", ""), kind, int(size or 0) if sized else 0, int(scale or 0) if kind == "FixedDecimal" else 0, e.get("source", ""), e.get("description", "")))
     return out

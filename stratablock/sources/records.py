@@ -236,7 +236,7 @@ def _fixed_column(f: Field, array: pa.Array) -> np.ndarray:
         values = np.asarray(array.fill_null(0))
         if f.type == "Byte":
             null = null | (values < 0) | (values > 255)
-        out[:, :-1] = np.where(null, 0, values).astype(NUMBERS[f.type]).view(np.uint8).reshape(n, -1)
+        out[:, :-1] = np.where(null, 0, values).astype(NUMBERS[f.type]).view(np.uint8).reshape(n, f.width - 1)
     elif f.type in CHARS:
         if pa.types.is_date(array.type) or pa.types.is_timestamp(array.type):
             unit = "D" if f.type == "Date" else "s"

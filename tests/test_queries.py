@@ -1,0 +1,37 @@
+"""Every registered query of the library's own catalogue against DuckDB, on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from stratablock.plans import catalogue
+
+SMALL = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the tables aren't here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in glob.glob(f"{SMALL}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return c
+
+
+def canon(rows):
+    return sorted(tuple("\0" if v is None else repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(catalogue.CATALOGUE))
+def test_query(spark, duck, name):
+    df = catalogue.queries()[name](spark, SMALL)
+    rows, columns = df.collect(), sorted(df.columns)
+    query = catalogue.oracle_sql().get(name)
+    if query is None:
+        assert rows
+        return
+    found = duck.sql(query)
+    places = [found.columns.index(c) for c in columns]
+    assert len(found.columns) == len(columns)
+    assert canon([tuple(r[c] for c in columns) for r in rows]) == canon([tuple(r[p] for p in places) for r in found.fetchall()])
