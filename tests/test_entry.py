@@ -1,0 +1,37 @@
+"""The driver's entry module, with and without the optional parts."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_imports_without_the_optional_parts(tmp_path):
+    for p in ROOT.iterdir():
+        if p.name not in ("stratablock", "corpus_pipeline.py", ".git", "tests"):
+            os.symlink(p, tmp_path / p.name)
+    (tmp_path / "stratablock").mkdir()
+    for p in (ROOT / "stratablock").iterdir():
+        if p.name not in ("llm", "__pycache__"):
+            os.symlink(p, tmp_path / "stratablock" / p.name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
+def test_nothing_else_imports_the_optional_parts():
+    for p in (ROOT / "stratablock").rglob("*.py"):
+        if "llm" not in p.parts:
+            assert "llm" not in p.read_text()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 3
