@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.names import unique_names
+from .ship import ship
 from .sources.datasource import NAME, RowBlockSource, load_infos
 from .sources.fields import Field
 
 
 def register(spark: SparkSession) -> None:
     """Makes ``spark.read.format("rowblock")`` known; calling it again changes nothing."""
+    ship(spark)
     spark.dataSource.register(RowBlockSource)
 
 

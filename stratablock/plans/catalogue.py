@@ -194,7 +194,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "rt_several_files": (several_files, "SELECT c_custkey, c_name FROM customer"),
     "rt_uncompressed": (uncompressed, "SELECT * FROM part"),
     "rt_empty_result": (empty_with_schema, "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE false"),
-    "rt_exact_decimals": (exact_decimals, "SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12,2)) AS balance FROM supplier"),
+    "rt_exact_decimals": (exact_decimals, "SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(13,2)) AS balance FROM supplier"),
     "rt_colliding_names": (colliding_names, "SELECT n_nationkey AS \"Key\", n_name AS key2 FROM nation"),
     "projection_reordered": (round_trip("customer", "c_mktsegment", "c_acctbal", "c_custkey"), "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer"),
     "predicate_gt": (predicate_gt, "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 1000"),
@@ -296,7 +296,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "set_intersect": same("SELECT n_nationkey AS k FROM {nation} INTERSECT SELECT r_regionkey FROM {region}"),
     "set_except": same("SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT r_regionkey FROM {region}"),
     "cte_subquery": same("WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM {orders} GROUP BY o_custkey) SELECT c_custkey, m FROM {customer} JOIN big ON c_custkey = o_custkey WHERE m > (SELECT avg(o_totalprice) FROM {orders})"),
-    "scalar_text": same("SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, replace(c_name, '#', '-') AS r FROM {customer}"),
+    "scalar_text": same("SELECT c_custkey, upper(c_name) AS u, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '#', '-') AS r FROM {customer}"),
     "join_asof": (
         lambda spark, sf_dir: as_of(table(spark, sf_dir, "events")),
         "SELECT p.event_id AS pid, e.event_id AS eid FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'signup') e ON p.user_id = e.user_id AND p.ts >= e.ts",
