@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_dir: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,7 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/stratablock/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stratablock/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has cut so far: for when the results that read it are written."""
+    jvm = spark.sparkContext._jvm
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +53,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     A lost executor then costs the tasks it ran, not the whole chain before.
     """
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
