@@ -32,7 +32,7 @@ from .pretoken import groups
 
 CHUNK, WIDTH, FILTERS, LAGS, HIDDEN = 256, 5, 12, 40, 16
 PAD = 256
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 2400, 24, 8
+TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 5000, 24, 8
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 _BLOCK = 512
