@@ -12,6 +12,7 @@ from .functions.names import unique_names
 from .ship import ship
 from .sources.datasource import NAME, RowBlockSource, load_infos
 from .sources.fields import Field
+from .sources.files import plan, read_piece
 
 
 def register(spark: SparkSession) -> None:
@@ -57,6 +58,30 @@ def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None,
     return scan(spark, path, columns, offset, limit).toArrow()
 
 
+def read_pandas(spark: SparkSession, path: str, columns: list[str] | None = None):
+    """The table as a pandas frame in the driver's memory."""
+    return scan(spark, path, columns).toPandas()
+
+
+def read_records(spark: SparkSession, path: str, columns: list[str] | None = None, offset: int = 0, limit: int | None = None) -> list[dict]:
+    """Rows as dictionaries in the driver's memory."""
+    return [r.asDict() for r in scan(spark, path, columns, offset, limit).collect()]
+
+
+def record(path: str, number: int) -> dict:
+    """One record by its number; only its block is read, without Spark."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    infos = load_infos(path)
+    if not 0 <= number < sum(i.records for i in infos):
+        raise IndexError(f"{path} has no record {number}")
+    (piece,) = plan(infos, number, 1)
+    fields = piece.info.fields
+    schema = to_arrow_schema(StructType([f.spark() for f in fields]))
+    return next(read_piece(piece, list(range(len(fields))), schema)).to_pylist()[0]
+
+
 def read_batches(spark: SparkSession, path: str, size: int = 65_536, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``size`` rows, partition by partition."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -95,6 +120,26 @@ def write_columns(spark: SparkSession, columns: dict[str, list], path: str, sche
     write(spark.createDataFrame(rows, kinds), path, mode, single_file=True)
 
 
+def write_records(spark: SparkSession, rows: list[dict], path: str, schema: list[Field], mode: str = "overwrite") -> None:
+    """Dictionaries by name: what a row lacks is null, what the schema lacks is left out."""
+    from pyspark.sql.types import StructType
+
+    kinds = StructType([f.spark(True) for f in schema])
+    write(spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], kinds), path, mode, single_file=True)
+
+
+def write_arrow(spark: SparkSession, table: pa.Table, path: str, mode: str = "overwrite") -> None:
+    write(spark.createDataFrame(table), path, mode)
+
+
+def write_pandas(spark: SparkSession, frame, path: str, mode: str = "overwrite") -> None:
+    """An index that says more than the rows' numbers becomes columns before the others."""
+    import pandas as pd
+
+    plain = isinstance(frame.index, pd.RangeIndex) and frame.index.start == 0 and frame.index.step == 1
+    write_arrow(spark, pa.Table.from_pandas(frame if plain else frame.reset_index(), preserve_index=False), path, mode)
+
+
 def write_sql(spark: SparkSession, query: str, path: str, **options) -> None:
     write(spark.sql(query), path, **options)
 

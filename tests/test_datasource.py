@@ -125,3 +125,21 @@ def test_stream(spark, tmp_path):
     q = write_stream(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), availableNow=True)
     assert q.awaitTermination(60)
     assert sorted(r.id for r in sb.scan(spark, str(tmp_path / "out")).collect()) == list(range(10))
+
+
+def test_records_and_frames(spark, numbers, tmp_path, capsys):
+    import pandas as pd
+
+    assert sb.record(numbers, 65_536) == {"id": 65_536, "s": "v65536", "x": 32_768.0}
+    with pytest.raises(IndexError):
+        sb.record(numbers, 150_000)
+    assert sb.read_records(spark, numbers, ["id"], 7, 2) == [{"id": 7}, {"id": 8}]
+    path = str(tmp_path / "r.rb")
+    sb.write_records(spark, [{"a": 1, "zzz": 5}, {"b": "x"}], path, [Field("a", "Int16"), Field("b", "V_String", 9)])
+    assert sb.read_records(spark, path) == [{"a": 1, "b": None}, {"a": None, "b": "x"}]
+    sb.write_pandas(spark, pd.DataFrame({"v": [1.5, 2.5]}, index=pd.Index([7, 8], name="k")), str(tmp_path / "p"))
+    assert sb.read_pandas(spark, str(tmp_path / "p")).to_dict("list") == {"k": [7, 8], "v": [1.5, 2.5]}
+    from stratablock.__main__ import main
+
+    assert main([path]) == 0 and capsys.readouterr().out == "2 records\na\tInt16\nb\tV_String(9)\n"
+    assert main(["--version"]) == 0 and main(["--nope"]) == 2
