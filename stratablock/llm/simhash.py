@@ -216,6 +216,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = Non
     return labels
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a least spanning forest, edges being in order of their weight: each tree takes its first edge, again and again."""
+    labels, chosen = np.arange(n), []
+    left = np.arange(len(a))
+    while True:
+        la, lb = labels[a[left]], labels[b[left]]
+        apart = la != lb
+        left, la, lb = left[apart], la[apart], lb[apart]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else left
+        first = np.full(n, len(a))
+        np.minimum.at(first, la, left)
+        np.minimum.at(first, lb, left)
+        taken = np.unique(first[first < len(a)])
+        chosen.append(taken)
+        labels = forest(n, a[taken], b[taken], labels)
+
+
+#: Forests of open links that a task reports, each of what the ones before leave over.
+OPEN_FORESTS = 3
+
+
 @dataclass(frozen=True)
 class Radii:
     """Up to ``sure`` differing bits link; from there to ``maybe``, an exact check decides."""
@@ -225,8 +247,9 @@ class Radii:
 
 
 def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, sure) within runs of equal keys: a spanning forest of sure links,
-    and between trees of it the closest pair within ``maybe`` bits."""
+    """(row, other row, sure) within runs of equal keys: a spanning forest of sure links, and
+    between its trees OPEN_FORESTS least spanning forests, one after the other, of pairs within
+    ``maybe`` bits.  So there are never more links than a few a row, whatever a group's size."""
     change = np.flatnonzero(np.diff(keys)) + 1
     sizes = np.diff(np.concatenate([[0], change, [len(keys)]]))
     keep = np.repeat(sizes > 1, sizes)
@@ -276,7 +299,11 @@ def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.nd
         lead = np.ones(len(order), bool)
         lead[1:] = (la[order][1:] != la[order][:-1]) | (lb[order][1:] != lb[order][:-1])
         order = order[lead]
-        out_a.append(rows[a[order]]), out_b.append(rows[b[order]]), out_s.append(np.zeros(len(order), bool))
+        order = order[np.argsort(d[order], kind="stable")]
+        for _ in range(OPEN_FORESTS):
+            taken = spanning(m, la[order], lb[order])
+            out_a.append(rows[a[order[taken]]]), out_b.append(rows[b[order[taken]]]), out_s.append(np.zeros(len(taken), bool))
+            order = np.delete(order, taken)
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
 
 
@@ -359,14 +386,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     Candidates come from sampled bits of 256-bit fingerprints, at the stated recall
     for pairs just at the threshold.  Few differing bits link; candidates near the
-    threshold are decided by the exact similarity of their shingle sets.
+    threshold are decided by the exact similarity of their shingle sets.  Those are
+    the links of a few spanning forests a bucket, closest first: a link is only left
+    out where each table has that many closer ways between its ends.
     """
     marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col), "simhash")
     distinct = cut(marked.select("fp").distinct(), "distinct-fp")
     tables = sampled(distinct.count(), similarity, SEARCH_RECALL, 64 * SEARCH_LANES)
     found = cut(links(distinct, tables, SEARCH_RADII), "simhash-links")
     sure = found.filter("sure").select("a", "b")
-    open_ = found.filter("not sure").select("a", "b")
+    # what sure links connect already needs no check
+    known = cut(connected_components(sure), "sure-roots")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = found.filter("not sure").select("a", "b").join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
+    open_ = cut(rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-links")
 
     def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, 1):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from stratablock.llm.components import connected_components
-from stratablock.llm.simhash import Radii, bucket_links, fingerprint, near_duplicates, pigeonhole, shingle_hashes, simhash_components
+from stratablock.llm.simhash import Radii, bucket_links, fingerprint, near_duplicates, pigeonhole, shingle_hashes, simhash_components, spanning
 
 
 def plain_shingles(text, words):
@@ -67,6 +67,35 @@ def test_bucket_links(radius, sizes):
     assert len(a) <= len(fps)
 
 
+def test_spanning():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        a, b = rng.integers(0, n, 60), rng.integers(0, n, 60)
+        chosen = spanning(n, a, b)
+        root, want = list(range(n)), []
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for k in range(60):
+            if find(a[k]) != find(b[k]):
+                root[find(a[k])] = find(b[k])
+                want.append(k)
+        assert sorted(chosen.tolist()) == want
+
+
+def test_open_links_stay_linear():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2, 256)
+    ones = np.array([base ^ (rng.random(256) < 0.06) for _ in range(400)])
+    raw = np.packbits(ones.astype(np.uint8), axis=1, bitorder="little")
+    a, b, sure = bucket_links(np.zeros(400, np.int64), raw, Radii(10, 57))
+    assert 399 <= len(a) <= 4 * 400 and not sure.all()
+
+
 def test_pigeonhole_misses_nothing():
     for radius in (0, 1, 2, 3):
         tables = pigeonhole(radius)
