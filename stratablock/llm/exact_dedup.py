@@ -49,8 +49,9 @@ def exact_dedup(
     groups = cut(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id"), F.max(sha).alias("text_sha256")), "exact-groups")
     many = groups.filter("group_size > 1").select("_hash", "keep_id")
     members = cut(rows.join(many, "_hash"), "exact-members")
-    stays = members.filter("_id <=> keep_id").groupBy("_hash").agg(F.max("_text").alias("_kept_text"))
-    differ = cut(members.join(stays, "_hash").filter("_text <> _kept_text").select("_hash").distinct(), "exact-collisions")
+    stays = cut(members.filter("_id <=> keep_id").groupBy("_hash").agg(F.max("_text").alias("_kept_text")), "exact-stays")
+    # distinct only after the cut: an aggregate on the join's own key would keep a hot key's rows together
+    differ = cut(members.join(stays, "_hash").filter("_text <> _kept_text").select("_hash"), "exact-collisions").distinct()
 
     def decided(r: DataFrame) -> DataFrame:
         kept = F.col("_id").eqNullSafe(F.col("keep_id")) | F.col("keep_id").isNull()
