@@ -407,7 +407,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
 
     wanted = open_.select(F.col("a").alias("fp")).unionByName(open_.select(F.col("b").alias("fp"))).distinct()
-    chosen = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("_id", "_text_hash")).alias("r")).select("fp", "r.*")
+    # aggregated before the join: copies of a text collapse map-side
+    chosen = marked.groupBy("fp").agg(F.min(F.struct("_id", "_text_hash")).alias("r")).join(wanted, "fp", "left_semi").select("fp", "r.*")
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
     rows = texts.join(chosen.hint("merge"), texts["_id"].eqNullSafe(chosen["_id"]) & (texts["_text_hash"] == chosen["_text_hash"])).select("fp", "_text").dropDuplicates(["fp"])
