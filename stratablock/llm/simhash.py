@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,10 @@ from .pretoken import groups
 SEED = 42
 TILE_ROWS = 8192
 BATCH_ROWS = 1 << 16
+#: Shingle sets compared with each other in one task: of a group's part, and in a tile of two parts of a group that its parts don't connect.
+PART_ROWS, SET_TILE_ROWS = 64, 1024
+#: As many shingles at most in a part on average, and sets of a group that are in all its parts.
+PART_SHINGLES, SHARED_ROWS = 2_000_000, 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _HASH_CHUNK = 1 << 15
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -347,9 +352,8 @@ def links(fps: DataFrame, tables: list[list[int]], radii: Radii, tile_rows: int
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     tiled = keys.join(cut(large, "large-buckets"), "key", "left").withColumn("mine", mine).withColumn("other", other)
-    tile = F.least("mine", "other") * 32768 + F.greatest("mine", "other")
-    placed = tiled.select("key", F.when(F.col("parts").isNull(), 0).otherwise(tile).cast("int").alias("tile"), "fp")
-    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compared(radii), "a binary, b binary, sure boolean").distinct()
+    placed = tiled.select("key", F.when(F.col("parts").isNull(), 0).otherwise(_tile("mine", "other")).cast("int").alias("tile"), "fp")
+    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compared(radii), "a binary, b binary, sure boolean").distinct()
 
 
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -377,46 +381,153 @@ def _reversed(col: str):
 
 #: Bits of fingerprints for similarity search.  At 0.8, 39 of 256 bits differ (standard deviation 6).
 SEARCH_LANES = 4
-SEARCH_RADII = Radii(sure=24, maybe=57)
+SEARCH_RADIUS = 57
 SEARCH_RECALL = 0.97
 
 
+def set_links(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other row): pairs of sets of that Jaccard similarity, as many as join all labels that such pairs join.
+
+    ``values`` holds the sets one after the other, without repeats; ``labels`` tells rows known to be joined.  A row is
+    compared with each later one that isn't joined to it.  Sets that similar share one of their rarest values (as many
+    as may be missing, and one), so only rows that do are counted in full: nothing is missed by that.
+    """
+    n = len(sizes)
+    labels = labels.copy()
+    _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    codes = rank[codes]
+    codes = codes[np.lexsort((codes, np.repeat(np.arange(n), sizes)))]
+    starts = np.cumsum(sizes) - sizes
+    rarest = np.minimum(sizes, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)
+    mark = np.zeros(len(counts), np.int64)
+    out_a, out_b = [], []
+
+    def marked(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How many of the first values of each row have a mark."""
+        begin = np.cumsum(lengths) - lengths
+        at = np.repeat(starts[rows] - begin, lengths) + np.arange(int(lengths.sum()))
+        return np.add.reduceat(mark[codes[at]], begin)
+
+    for i in range(n - 1):
+        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        rest = rest[(sizes[rest] >= similarity * sizes[i] - 1e-9) & (sizes[i] >= similarity * sizes[rest] - 1e-9)]
+        if not len(rest) or not sizes[i]:
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own[: rarest[i]]] = 1
+        rest = rest[marked(rest, rarest[rest]) > 0]
+        if len(rest):
+            mark[own] = 1
+            common = marked(rest, sizes[rest])
+            rest = rest[common >= similarity * (sizes[i] + sizes[rest] - common)]
+        mark[own] = 0
+        if len(rest):
+            theirs, first = np.unique(labels[rest], return_index=True)
+            out_a.append(np.full(len(first), i))
+            out_b.append(rest[first])
+            labels[np.isin(labels, theirs)] = labels[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def _similar(similarity: float) -> Callable:
+    """(root, tile, fp, label, shingles) in order of root and tile to what set_links finds in each tile."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fps = [x for b in held for x in b.column(2).to_pylist()]
+            if len(fps) < 2:
+                return
+            label: dict[bytes, int] = {}
+            labels = np.array([label.setdefault(x, len(label)) for b in held for x in b.column(3).to_pylist()])
+            if len(label) < 2:
+                return
+            sizes = np.concatenate([pc.list_value_length(b.column(4)).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+            values = np.concatenate([b.column(4).flatten().to_numpy(zero_copy_only=False) for b in held])
+            a, b = set_links(values, sizes, labels, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([fps[i] for i in at], pa.binary()) for at in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            begin = 0
+            for now, run_ in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                n = sum(1 for _ in run_)
+                if now != key:
+                    yield from flush()
+                    held, key = [], now
+                held.append(batch.slice(begin, n))
+                begin += n
+        yield from flush()
+
+    return run
+
+
+def _tile(mine: str, other: str):
+    return F.least(mine, other) * 32768 + F.greatest(mine, other)
+
+
+def similar_pairs(sets: DataFrame, similarity: float, part_rows: int = PART_ROWS, tile_rows: int = SET_TILE_ROWS) -> DataFrame:
+    """(a, b): links that connect just what pairs of that Jaccard similarity connect within each group.
+
+    sets has root (the group), fp and shingles.  A group of up to part_rows sets is one task's.  A larger one is dealt
+    into such parts, a few of its sets being in all of them, which mostly connects all of it.  Where it doesn't, every
+    two sets of it meet in tiles, in which what is connected already needs no comparing.
+    """
+    compare = lambda df: df.select("root", "tile", "fp", "label", "shingles").repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_similar(similarity), "a binary, b binary")
+
+    def parts(rows: int, shingles: int):
+        return F.ceil(F.greatest(F.col("n") / rows, F.col("shingles_n") / shingles)).cast("int")
+
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles").cast("long")).alias("shingles_n"))
+    large = cut(sizes.filter((F.col("n") > part_rows) | (F.col("shingles_n") > PART_SHINGLES)).withColumn("parts", parts(part_rows, PART_SHINGLES)), "large-groups")
+    everywhere = F.pmod(F.xxhash64("fp", F.lit(13)), F.col("n")) < SHARED_ROWS
+    mine = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("parts")).cast("int")
+    tiles = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
+    dealt = sets.join(large, "root", "left").withColumn("tile", F.explode(tiles)).withColumn("label", F.col("fp"))
+    found = cut(compare(dealt), "similar")
+    if large.isEmpty():
+        return found
+    known = cut(connected_components(found), "similar-roots").withColumnRenamed("root", "label")
+    labelled = cut(sets.join(large.select("root"), "root", "left_semi").select("root", "fp").join(known, F.col("fp") == F.col("node"), "left").select("root", "fp", F.coalesce("label", "fp").alias("label")), "labels")
+    apart = labelled.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("root")
+    left = cut(large.join(apart, "root").select("root", F.least(parts(tile_rows, 2 * PART_SHINGLES) * 2, F.lit(32767)).alias("parts")), "large-groups-left")
+    if left.isEmpty():
+        return found
+    paired = sets.join(left, "root").join(labelled.select("fp", "label"), "fp").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return found.unionByName(cut(compare(paired.withColumn("tile", _tile("mine", "other"))), "similar-tiles"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text_hash, component_id): texts of that Jaccard similarity of their shingle sets, and what they reach, share a component.
 
     Candidates come from sampled bits of 256-bit fingerprints, at the stated recall
-    for pairs just at the threshold.  Few differing bits link; candidates near the
-    threshold are decided by the exact similarity of their shingle sets.  Those are
-    the links of a few spanning forests a bucket, closest first: a link is only left
-    out where each table has that many closer ways between its ends.
+    for pairs just at the threshold.  They only say which texts to compare: within
+    what candidates connect, every two texts are decided by the exact similarity of
+    their shingle sets, whatever the group's size (unless connected already).
     """
     marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col), "simhash")
     distinct = cut(marked.select("fp").distinct(), "distinct-fp")
     tables = sampled(distinct.count(), similarity, SEARCH_RECALL, 64 * SEARCH_LANES)
-    found = cut(links(distinct, tables, SEARCH_RADII), "simhash-links")
-    sure = found.filter("sure").select("a", "b")
-    # what sure links connect already needs no check
-    known = cut(connected_components(sure), "sure-roots")
-    side = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rooted = found.filter("not sure").select("a", "b").join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
-    open_ = cut(rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-links")
+    candidates = cut(links(distinct, tables, Radii(SEARCH_RADIUS, SEARCH_RADIUS)).select("a", "b"), "simhash-links")
+    grouped = cut(connected_components(candidates), "candidate-groups")
 
     def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, 1):
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+        for part in groups(batches, 2):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["fp", "root", "shingles"])
 
-    wanted = open_.select(F.col("a").alias("fp")).unionByName(open_.select(F.col("b").alias("fp"))).distinct()
     # aggregated before the join: copies of a text collapse map-side
-    chosen = marked.groupBy("fp").agg(F.min(F.struct("_id", "_text_hash")).alias("r")).join(wanted, "fp", "left_semi").select("fp", "r.*")
+    chosen = marked.groupBy("fp").agg(F.min(F.struct("_id", "_text_hash")).alias("r")).join(grouped, F.col("fp") == F.col("node")).select("fp", "root", "r.*")
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
-    rows = texts.join(chosen.hint("merge"), texts["_id"].eqNullSafe(chosen["_id"]) & (texts["_text_hash"] == chosen["_text_hash"])).select("fp", "_text").dropDuplicates(["fp"])
-    sets = cut(rows.mapInArrow(shingle_sets, "fp binary, shingles array<long>"), "shingle-sets")
-    both = open_.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    close = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    return marked.join(classes(marked, sure.unionByName(close)), "fp").select("_id", "_text_hash", "component_id")
+    rows = texts.join(chosen.hint("merge"), texts["_id"].eqNullSafe(chosen["_id"]) & (texts["_text_hash"] == chosen["_text_hash"])).select("fp", "root", "_text").dropDuplicates(["fp"])
+    sets = cut(rows.mapInArrow(shingle_sets, "fp binary, root binary, shingles array<long>"), "shingle-sets")
+    return marked.join(classes(marked, similar_pairs(sets, similarity)), "fp").select("_id", "_text_hash", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

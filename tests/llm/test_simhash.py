@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from stratablock.llm.components import connected_components
-from stratablock.llm.simhash import Radii, bucket_links, fingerprint, near_duplicates, pigeonhole, shingle_hashes, simhash_components, spanning
+from stratablock.llm.simhash import Radii, bucket_links, fingerprint, forest, near_duplicates, pigeonhole, set_links, shingle_hashes, simhash_components, spanning
 
 
 def plain_shingles(text, words):
@@ -153,3 +153,55 @@ def test_near_duplicates(documents):
     got = sorted((r[0], r[2]) for r in near_duplicates(documents(rows)).collect())
     same = sum(a == b for a, b in zip(got, want))
     assert len(got) == len(want) and same >= 0.95 * len(want)
+
+
+def exact_classes(sets, similarity=0.8):
+    """Brute force over all pairs: the smallest row of each row's class."""
+    names = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    ones = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        ones[i, [names[x] for x in s]] = 1
+    sizes, common = ones.sum(1), ones @ ones.T
+    a, b = np.nonzero(np.triu(common >= similarity * (sizes[:, None] + sizes[None] - common), 1))
+    return forest(len(sets), a, b)
+
+
+def star(rng, copies, words=300, edits=6):
+    """A text and copies of it, each with edits of its own: 0.816 similar to it, and mostly 0.67 to each other."""
+    base = prose(rng, words).split()
+    rows = [(copies, " ".join(base))]
+    for c in range(copies):
+        w = list(base)
+        for k in rng.sample(range(6, words - 6, 6), edits):
+            w[k] = f"q{c}x{k}"
+        rows.append((c, " ".join(w)))
+    return rows
+
+
+def test_set_links():
+    rng = random.Random(4)
+    for labelled in (False, True):
+        for _ in range(40):
+            base = [rng.sample(range(400), 60) for _ in range(3)]
+            sets = [set(rng.choice(base)) ^ set(rng.sample(range(400), rng.randint(0, 9))) for _ in range(rng.randint(1, 60))]
+            want = exact_classes(sets)
+            labels = np.where(np.arange(len(sets)) % 3 == 0, want, np.arange(len(sets))) if labelled else np.arange(len(sets))
+            a, b = set_links(np.concatenate([np.array(sorted(s), np.int64) for s in sets]), np.array([len(s) for s in sets]), labels, 0.8)
+            assert all(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i, j in zip(a, b))
+            at = np.arange(len(sets))
+            assert forest(len(sets), np.concatenate([a, at]), np.concatenate([b, labels])).tolist() == want.tolist()
+            assert len(a) < len(sets)
+
+
+def test_star_of_near_copies(documents):
+    """Many copies are closer to each other by their bits than to the text they come from; only that one links them."""
+    rng = random.Random(6)
+    rows = star(rng, 1200)
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    want = exact_classes(sets)
+    assert sum(want == 0) == 1201
+    ids = [i for i, _ in rows]
+    named = {r: min(ids[k] for k in np.flatnonzero(want == r)) for r in set(want.tolist())}
+    got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
+    wrong = sum(got[i] != named[r] for i, r in zip(ids, want.tolist()))
+    assert wrong <= 0.01 * len(rows)
