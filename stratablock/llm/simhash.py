@@ -254,7 +254,8 @@ class Radii:
 def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other row, sure) within runs of equal keys: a spanning forest of sure links, and
     between its trees OPEN_FORESTS least spanning forests, one after the other, of pairs within
-    ``maybe`` bits.  So there are never more links than a few a row, whatever a group's size."""
+    ``maybe`` bits.  So there are never more links than a few a row, whatever a group's size.
+    Callers that need all that is linked take one radius for both; open links are a sample."""
     change = np.flatnonzero(np.diff(keys)) + 1
     sizes = np.diff(np.concatenate([[0], change, [len(keys)]]))
     keep = np.repeat(sizes > 1, sizes)

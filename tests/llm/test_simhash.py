@@ -205,3 +205,33 @@ def test_star_of_near_copies(documents):
     got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
     wrong = sum(got[i] != named[r] for i, r in zip(ids, want.tolist()))
     assert wrong <= 0.01 * len(rows)
+
+
+def bridged(rng, each, words=300):
+    """Two groups of close copies in which one pair across, not the closest by its bits, reaches 0.8; all others across stay below."""
+    base = prose(rng, words).split()
+    places = rng.sample(range(6, words - 6, 6), 7 + 2 * each)
+
+    def edited(at, by):
+        w = list(base)
+        for k in at:
+            w[k] = f"{by}{k}"
+        return w
+
+    far = edited(places[:7], "q")
+    texts = [edited(places[:1], "q"), far]
+    for k in range(each):
+        texts.append(edited([places[7 + k]], "a"))
+        texts.append([f"b{i}" if i == places[7 + each + k] else x for i, x in enumerate(far)])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_one_pair_joins_two_groups(documents):
+    rows = []
+    for g in range(4):
+        rows += [(1000 * g + i, t) for i, t in bridged(random.Random(g), 18)]
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    want = exact_classes(sets).tolist()
+    assert len(set(want)) == 4
+    got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
+    assert [got[i] for i, _ in rows] == [rows[r][0] for r in want]
