@@ -86,12 +86,21 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _text_hash, fp) per row; fp is binary, 8 x lanes bytes."""
+def set_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
+    """The fingerprint of the set of shingles, each counted once, and 16 bytes that only equal sets share."""
+    import xxhash
+
+    distinct = np.unique(hashes)
+    return fingerprint(distinct, lanes) + xxhash.xxh3_128_digest(distinct.tobytes(), SEED)
+
+
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(_id, _text_hash, fp) per row; fp is binary, 8 x lanes bytes, with ``sets`` that of set_fingerprint."""
+    print_of = set_fingerprint if sets else fingerprint
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, 2):
-            fps = [fingerprint(shingle_hashes(t, words), lanes) for t in part.column(2).to_pylist()]
+            fps = [print_of(shingle_hashes(t, words), lanes) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.binary())], ["_id", "_text_hash", "fp"])
 
     text = text_of(text_col)
@@ -313,7 +322,7 @@ def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.nd
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
 
 
-def _compared(radii: Radii) -> Callable:
+def _compared(radii: Radii, width: int | None) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
@@ -325,7 +334,7 @@ def _compared(radii: Radii) -> Callable:
             stop = len(keys) if final else int(np.searchsorted(keys == keys[-1], True))
             if not final and not stop:
                 return
-            a, b, sure = bucket_links(keys[:stop], raw[:stop], radii)
+            a, b, sure = bucket_links(keys[:stop], raw[:stop, :width], radii)
             held = [(keys[stop:], raw[stop:])] if stop < len(keys) else []
             count = len(keys) - stop
             if len(a):
@@ -346,15 +355,15 @@ def _compared(radii: Radii) -> Callable:
     return run
 
 
-def links(fps: DataFrame, tables: list[list[int]], radii: Radii, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b, sure) of distinct fingerprints (fp binary)."""
+def links(fps: DataFrame, tables: list[list[int]], radii: Radii, tile_rows: int = TILE_ROWS, width: int | None = None) -> DataFrame:
+    """(a, b, sure) of distinct fingerprints (fp binary, of which ``width`` bytes are compared, or all)."""
     keys = keyed(fps, tables)
     large = keys.groupBy("key").count().filter(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") * 2 / tile_rows).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     tiled = keys.join(cut(large, "large-buckets"), "key", "left").withColumn("mine", mine).withColumn("other", other)
     placed = tiled.select("key", F.when(F.col("parts").isNull(), 0).otherwise(_tile("mine", "other")).cast("int").alias("tile"), "fp")
-    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compared(radii), "a binary, b binary, sure boolean").distinct()
+    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compared(radii, width), "a binary, b binary, sure boolean").distinct()
 
 
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -510,11 +519,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     for pairs just at the threshold.  They only say which texts to compare: within
     what candidates connect, every two texts are decided by the exact similarity of
     their shingle sets, whatever the group's size (unless connected already).
+    Fingerprints are those of the sets, and only texts of equal sets count as one.
     """
-    marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col), "simhash")
+    marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col, sets=True), "simhash")
     distinct = cut(marked.select("fp").distinct(), "distinct-fp")
     tables = sampled(distinct.count(), similarity, SEARCH_RECALL, 64 * SEARCH_LANES)
-    candidates = cut(links(distinct, tables, Radii(SEARCH_RADIUS, SEARCH_RADIUS)).select("a", "b"), "simhash-links")
+    candidates = cut(links(distinct, tables, Radii(SEARCH_RADIUS, SEARCH_RADIUS), width=8 * SEARCH_LANES).select("a", "b"), "simhash-links")
     grouped = cut(connected_components(candidates), "candidate-groups")
 
     def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

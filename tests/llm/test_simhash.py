@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from stratablock.llm.components import connected_components
-from stratablock.llm.simhash import Radii, bucket_links, fingerprint, forest, near_duplicates, pigeonhole, set_links, shingle_hashes, simhash_components, spanning
+from stratablock.llm.simhash import Radii, bucket_links, fingerprint, forest, near_duplicates, pigeonhole, set_fingerprint, set_links, shingle_hashes, simhash_components, spanning
 
 
 def plain_shingles(text, words):
@@ -235,3 +235,24 @@ def test_one_pair_joins_two_groups(documents):
     assert len(set(want)) == 4
     got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
     assert [got[i] for i, _ in rows] == [rows[r][0] for r in want]
+
+
+def test_repeats_within_a_text_do_not_count(documents):
+    """A phrase said many times over neither makes unrelated texts alike nor similar ones different."""
+    rng = random.Random(14)
+    phrase = prose(rng, 7)
+    rows = [(i, " ".join([phrase] * 60 + [prose(rng, 200)])) for i in range(6)]
+    own = prose(rng, 200)
+    rows += [(10, own + " " + phrase), (11, own + " " + " ".join([phrase] * 60))]
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    want = exact_classes(sets).tolist()
+    assert want == [0, 1, 2, 3, 4, 5, 6, 6]
+    got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
+    assert [got[i] for i, _ in rows] == [rows[r][0] for r in want]
+
+
+def test_equal_fingerprints_of_unlike_sets(documents, monkeypatch):
+    monkeypatch.setattr("stratablock.llm.simhash.set_fingerprint", lambda hashes, lanes: bytes(8 * lanes) + set_fingerprint(hashes, lanes)[8 * lanes :])
+    rows = [(i, prose(random.Random(i), 40)) for i in range(5)] + [(9, prose(random.Random(3), 40)), (8, ""), (7, None)]
+    want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 3, 8: 7, 7: 7}
+    assert {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()} == want
