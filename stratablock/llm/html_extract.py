@@ -10,7 +10,8 @@ its main region, that region's open blocks are text and all outside of it isn't.
 A page without any decided block is text as a whole.
 
 A null page counts as empty and gives an empty text.  Scripts, styles and comments
-are skipped unparsed; unclosed tags end with their parent.  Work is linear in the
+are skipped unparsed; drawings, formulas, objects, templates and choices are parsed,
+but say nothing; unclosed tags end with their parent.  Work is linear in the
 page's length.  Repeated rows each get a row; an empty table gives an empty result.
 """
 
@@ -33,7 +34,7 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|title|select)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -45,6 +46,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER = frozenset("nav header footer aside form menu dialog button head fieldset option datalist".split())
 _MAIN = frozenset("article main".split())
+#: What stands in these is no text and parts no block; they may end at "/>".
+_FOREIGN = frozenset("svg math object template select".split())
 #: Words of class, id and role that mark what isn't the article.
 _MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs "
@@ -86,6 +89,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, region
     boiler, region, regions, in_link = False, 0, 0, 0
+    foreign = 0  # open elements of _FOREIGN
     block = Block(0, False)
 
     def flush() -> None:
@@ -99,6 +103,8 @@ def blocks_of(page: str) -> list[Block]:
         block = Block(region, boiler)
 
     def say(text: str) -> None:
+        if foreign:
+            return
         block.parts.append(text)
         if in_link:
             block.linked += len(text.strip())
@@ -117,17 +123,24 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag == "a":
+            if tag == "a" and not foreign:
                 in_link = max(0, in_link - 1)
             if any(t == tag for t, _, _ in stack):
                 if tag not in _INLINE or stack[-1][0] == tag:
-                    while stack.pop()[0] != tag:
-                        pass
+                    while (gone := stack.pop()[0]) != tag:
+                        foreign -= gone in _FOREIGN
+                    foreign -= gone in _FOREIGN
                     restore()
-                    flush()
-            elif tag not in _INLINE:
+                    if not foreign and tag not in _FOREIGN:
+                        flush()
+            elif tag not in _INLINE and tag not in _FOREIGN and not foreign:
                 flush()
             continue
+        if tag in _FOREIGN or foreign and tag != "body":
+            if tag not in _VOID and tag not in _INLINE and not m["rest"].endswith("/"):
+                stack.append((tag, boiler, region))
+                foreign += tag in _FOREIGN
+            continue
         if tag in ("br", "hr", "img"):
             say(" ") if tag == "br" else None
             if tag != "hr":
@@ -146,6 +159,7 @@ def blocks_of(page: str) -> list[Block]:
             restore()
         if tag == "body":
             stack.clear()
+            foreign = 0
             restore()
         if tag in _MAIN and not marked and not region:
             regions += 1

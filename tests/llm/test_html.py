@@ -43,3 +43,13 @@ def test_frame(spark):
 
 def test_references_are_decoded_once():
     assert main_text(f"<article><p>{html.escape('&amp; <b>')}</article>") == "&amp; <b>"
+
+
+def test_drawings_and_the_like_end():
+    for tag in ("svg", "math", "object", "template", "select"):
+        assert main_text(f'<article><p>one</p><{tag} class="i"/><p>two</p></article>') == "one two"
+        assert main_text(f"<article><p>one <{tag}><g><p>not</p><title>nor</title><b>this</b></g> or that</{tag}> two</p><p>three</article>") == "one two three"
+        assert main_text(f"<div><article><p>one<{tag}>not</article><p>out</div><article>two") == "one two"
+        assert main_text(f"<{tag}><article>not</article></{tag}><article>one") == "one"
+    assert main_text("<article><svg><svg/><path d=x /><a>not</a></svg>one</article>") == "one"
+    assert main_text("<article>" + "<svg/>" * 20_000 + "x") == "x"
