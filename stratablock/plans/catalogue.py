@@ -151,7 +151,7 @@ def colliding_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = file_schema(stored(table(spark, sf_dir, "orders").limit(1), "orders"))
+    fields = file_schema(stored(table(spark, sf_dir, "orders"), "orders"))
     rows = [(k, f.name, f.type, f.size, f.scale, schemas.is_a(f, "numeric"), schemas.is_a(f, "date")) for k, f in enumerate(fields)]
     return spark.createDataFrame(rows, "number int, name string, type string, size int, scale int, is_numeric boolean, is_date boolean")
 

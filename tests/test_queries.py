@@ -35,3 +35,15 @@ def test_query(spark, duck, name):
     places = [found.columns.index(c) for c in columns]
     assert len(found.columns) == len(columns)
     assert canon([tuple(r[c] for c in columns) for r in rows]) == canon([tuple(r[p] for p in places) for r in found.fetchall()])
+
+
+def test_schema_listing_writes_the_whole_table(spark, monkeypatch):
+    written, stored = [], catalogue.stored
+
+    def counted(df, *args, **options):
+        written.append(df.count())
+        return stored(df, *args, **options)
+
+    monkeypatch.setattr(catalogue, "stored", counted)
+    assert catalogue.schema_listing(spark, SMALL).count() > 0
+    assert written == [catalogue.table(spark, SMALL, "orders").count()]
