@@ -1,6 +1,7 @@
 """The driver's entry module, with and without the optional parts."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -8,20 +9,26 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
+HAVE_TABLES = os.path.isdir("/root/testdata/sf0.001")
 
 
-def test_imports_without_the_optional_parts(tmp_path):
-    for p in ROOT.iterdir():
-        if p.name not in ("stratablock", "corpus_pipeline.py", ".git", "tests"):
-            os.symlink(p, tmp_path / p.name)
-    (tmp_path / "stratablock").mkdir()
-    for p in (ROOT / "stratablock").iterdir():
-        if p.name not in ("llm", "__pycache__"):
-            os.symlink(p, tmp_path / "stratablock" / p.name)
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
+def run(folder, *arguments):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
-    assert done.returncode == 0, done.stderr
+    done = subprocess.run([sys.executable, *arguments], cwd=folder, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout + done.stderr
+
+
+@pytest.mark.parametrize("pipeline", [True, False], ids=["with its file", "without its file"])
+def test_without_the_optional_parts(tmp_path, pipeline):
+    """The repository less the two folders of the optional part, and with or without the pipeline's file."""
+    place = tmp_path / "repo"
+    shutil.copytree(ROOT, place, ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__", ".pytest_cache", "llm") or not pipeline and n == "corpus_pipeline.py"])
+    assert (place / "corpus_pipeline.py").exists() == (pipeline and (ROOT / "corpus_pipeline.py").exists())
+    run(place, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and 'pipeline' not in q and not any(x.startswith('op') for x in q)")
+    if pipeline:
+        run(place, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--ignore=tests/test_entry.py", "--ignore=tests/test_queries.py")
+        if HAVE_TABLES:
+            run(place, "-c", "import __spark_entry__ as e; from pyspark.sql import SparkSession; assert e.entry(SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()).count() == 3")
 
 
 def test_nothing_else_imports_the_optional_parts():
@@ -30,7 +37,7 @@ def test_nothing_else_imports_the_optional_parts():
             assert "llm" not in p.read_text()
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+@pytest.mark.skipif(not HAVE_TABLES, reason="the tables aren't here")
 def test_entry(spark):
     import __spark_entry__ as entry
 
