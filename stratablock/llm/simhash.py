@@ -10,8 +10,9 @@ Two ways to choose keys:
 
 * ``pigeonhole``: radius + 2 bit blocks, a table for each two of them.  Fingerprints
   that differ in at most ``radius`` bits share one such key for sure.
-* ``sampled``: tables of sampled bits, as many as the stated recall at the least
-  similarity takes, for radii at which no exact key prunes.
+* ``bands``: SEARCH_BANDS keys a text, each of SEARCH_ROWS minima of rehashed shingles,
+  for radii at which no key of bits prunes.  Their number is fixed, whatever the number
+  of texts.
 
 Equal fingerprints are grouped before (with map-side combining), so copies cost one
 row.  A key with more than TILE_ROWS distinct fingerprints is split into tiles that
@@ -26,9 +27,7 @@ component's id unless it has no other.  An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,17 +93,38 @@ def set_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
     return fingerprint(distinct, lanes) + xxhash.xxh3_128_digest(distinct.tobytes(), SEED)
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """(_id, _text_hash, fp) per row; fp is binary, 8 x lanes bytes, with ``sets`` that of set_fingerprint."""
-    print_of = set_fingerprint if sets else fingerprint
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band: two sets of similarity s have it in common with the probability s ** rows."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 1 << 31, (bands * rows, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = rng.integers(0, 1 << 32, (bands * rows, 1), np.uint32)
+    least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), _HASH_CHUNK // 8):
+        least = np.minimum(least, (short[i : i + _HASH_CHUNK // 8] * factors + shifts).min(1))
+    keys = np.arange(bands, dtype=np.uint64) * _MIX[0]
+    for column in least.reshape(bands, rows).T.astype(np.uint64):
+        keys = (keys ^ column) * _MIX[1]
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", bands: tuple[int, int] | None = None) -> DataFrame:
+    """(_id, _text_hash, fp) per row; fp is binary, 8 x lanes bytes.  With ``bands`` (their number, and rows of each) it is that of set_fingerprint, and their keys follow."""
+    names = ["_id", "_text_hash", "fp", "bands"][: 3 if bands is None else 4]
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, 2):
-            fps = [print_of(shingle_hashes(t, words), lanes) for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.binary())], ["_id", "_text_hash", "fp"])
+            hashes = [shingle_hashes(t, words) for t in part.column(2).to_pylist()]
+            fps = [(fingerprint if bands is None else set_fingerprint)(h, lanes) for h in hashes]
+            columns = [part.column(0), part.column(1), pa.array(fps, pa.binary())]
+            if bands is not None:
+                columns.append(pa.array([band_keys(h, *bands) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text")).mapInArrow(make, "_id long, _text_hash long, fp binary")
+    kinds = "_id long, _text_hash long, fp binary" + ("" if bands is None else ", bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text")).mapInArrow(make, kinds)
 
 
 # Keys
@@ -117,20 +137,6 @@ def pigeonhole(radius: int, bits: int = 64) -> list[list[int]]:
     return [a + b for a, b in itertools.combinations(blocks, 2)]
 
 
-def differing(similarity: float) -> float:
-    """The expected share of differing bits of two texts of that Jaccard similarity (of equal sizes)."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled(n: int, similarity: float, recall: float, bits: int) -> list[list[int]]:
-    """Tables for n fingerprints: the more there are, the more bits a key has, so that buckets stay small."""
-    width = max(12, math.ceil(math.log2(max(n, 2))) - 2)
-    meet = (1 - differing(similarity)) ** width
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
-
-
 def keyed(fps: DataFrame, tables: list[list[int]]) -> DataFrame:
     """(key, fp): a row for each table."""
 
@@ -169,10 +175,10 @@ def _words(mask: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(mask, axis=1, bitorder="little")).view(np.uint64)[:, 0]
 
 
-def bit_sliced(planes: np.ndarray, left: np.ndarray, lane: np.ndarray, right: np.ndarray, alive: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def bit_sliced(planes: np.ndarray, left: np.ndarray, lane: np.ndarray, right: np.ndarray, alive: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distances of row (left, lane) to the 64 rows of block right, where alive has a bit.
 
-    Yields (position in the arrays, lane of right, distance) of those within radius.
+    Yields (position in the arrays, lane of right) of those within radius.
     """
     n_bits = radius.bit_length()
     at = np.arange(len(left))
@@ -209,10 +215,7 @@ def bit_sliced(planes: np.ndarray, left: np.ndarray, lane: np.ndarray, right: np
     alive &= ~exceeds()
     bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     pos, other = np.nonzero(bits)
-    dist = np.zeros(len(pos), np.int64)
-    for j, c in enumerate(counters):
-        dist += ((c[pos] >> other.astype(np.uint64)) & one).astype(np.int64) << j
-    yield at[pos], other, dist
+    yield at[pos], other
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -230,48 +233,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = Non
     return labels
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the edges of a least spanning forest, edges being in order of their weight: each tree takes its first edge, again and again."""
-    labels, chosen = np.arange(n), []
-    left = np.arange(len(a))
-    while True:
-        la, lb = labels[a[left]], labels[b[left]]
-        apart = la != lb
-        left, la, lb = left[apart], la[apart], lb[apart]
-        if not len(left):
-            return np.concatenate(chosen) if chosen else left
-        first = np.full(n, len(a))
-        np.minimum.at(first, la, left)
-        np.minimum.at(first, lb, left)
-        taken = np.unique(first[first < len(a)])
-        chosen.append(taken)
-        labels = forest(n, a[taken], b[taken], labels)
-
-
-#: Forests of open links that a task reports, each of what the ones before leave over.
-OPEN_FORESTS = 3
-
-
-@dataclass(frozen=True)
-class Radii:
-    """Up to ``sure`` differing bits link; from there to ``maybe``, an exact check decides."""
-
-    sure: int
-    maybe: int
-
-
-def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, sure) within runs of equal keys: a spanning forest of sure links, and
-    between its trees OPEN_FORESTS least spanning forests, one after the other, of pairs within
-    ``maybe`` bits.  So there are never more links than a few a row, whatever a group's size.
-    Callers that need all that is linked take one radius for both; open links are a sample."""
+def bucket_links(keys: np.ndarray, raw: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other row) within runs of equal keys: a spanning forest of what differs in ``radius`` bits at most.
+    So there are never more links than rows, whatever a group's size."""
     change = np.flatnonzero(np.diff(keys)) + 1
     sizes = np.diff(np.concatenate([[0], change, [len(keys)]]))
     keep = np.repeat(sizes > 1, sizes)
     rows = np.flatnonzero(keep)
-    none = np.zeros(0, np.int64)
     if not len(rows):
-        return none, none, none.astype(bool)
+        return rows, rows
     group = np.repeat(np.arange(len(sizes)), sizes)[keep]
     m = len(rows)
     planes = planes_of(raw[rows])
@@ -285,7 +255,6 @@ def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.nd
     begin = np.concatenate([[0], np.cumsum(np.maximum(end - np.arange(blocks), 1))[:-1]])
     pair_right = np.arange(len(pair_left)) - np.repeat(begin, np.maximum(end - np.arange(blocks), 1)) + pair_left
     labels = np.arange(m)
-    weak: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     later = np.triu(np.ones((64, 64), bool), 1)
     for i in range(0, len(pair_left), 2048):
         left, right = pair_left[i : i + 2048], pair_right[i : i + 2048]
@@ -298,31 +267,13 @@ def bucket_links(keys: np.ndarray, raw: np.ndarray, radii: Radii) -> tuple[np.nd
             some = np.flatnonzero(alive)
             if not len(some):
                 continue
-            for at, other, dist in bit_sliced(planes, left[some], np.full(len(some), k), right[some], alive[some], radii.maybe):
-                a, b = left[some][at] * 64 + k, right[some][at] * 64 + other
-                sure = dist <= radii.sure
-                labels = forest(m, a[sure], b[sure], labels)
-                if not sure.all():
-                    weak.append((a[~sure], b[~sure], dist[~sure]))
+            for at, other in bit_sliced(planes, left[some], np.full(len(some), k), right[some], alive[some], radius):
+                labels = forest(m, left[some][at] * 64 + k, right[some][at] * 64 + other, labels)
     linked = np.flatnonzero(labels != np.arange(m))
-    out_a, out_b, out_s = [rows[linked]], [rows[labels[linked]]], [np.ones(len(linked), bool)]
-    if weak:
-        a, b, d = (np.concatenate(x) for x in zip(*weak))
-        la, lb = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
-        order = np.lexsort((d, lb, la))
-        order = order[(la != lb)[order]]
-        lead = np.ones(len(order), bool)
-        lead[1:] = (la[order][1:] != la[order][:-1]) | (lb[order][1:] != lb[order][:-1])
-        order = order[lead]
-        order = order[np.argsort(d[order], kind="stable")]
-        for _ in range(OPEN_FORESTS):
-            taken = spanning(m, la[order], lb[order])
-            out_a.append(rows[a[order[taken]]]), out_b.append(rows[b[order[taken]]]), out_s.append(np.zeros(len(taken), bool))
-            order = np.delete(order, taken)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
-
-
-def _compared(radii: Radii, width: int | None) -> Callable:
+    return rows[linked], rows[labels[linked]]
+
+
+def _compared(radius: int, width: int | None) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
@@ -334,12 +285,12 @@ def _compared(radii: Radii, width: int | None) -> Callable:
             stop = len(keys) if final else int(np.searchsorted(keys == keys[-1], True))
             if not final and not stop:
                 return
-            a, b, sure = bucket_links(keys[:stop], raw[:stop, :width], radii)
+            a, b = bucket_links(keys[:stop], raw[:stop, :width], radius)
             held = [(keys[stop:], raw[stop:])] if stop < len(keys) else []
             count = len(keys) - stop
             if len(a):
                 fps = lambda at: pa.array([raw[i].tobytes() for i in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([fps(a), fps(b), pa.array(sure)], ["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([fps(a), fps(b)], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -355,15 +306,14 @@ def _compared(radii: Radii, width: int | None) -> Callable:
     return run
 
 
-def links(fps: DataFrame, tables: list[list[int]], radii: Radii, tile_rows: int = TILE_ROWS, width: int | None = None) -> DataFrame:
-    """(a, b, sure) of distinct fingerprints (fp binary, of which ``width`` bytes are compared, or all)."""
-    keys = keyed(fps, tables)
+def links(keys: DataFrame, radius: int, tile_rows: int = TILE_ROWS, width: int | None = None) -> DataFrame:
+    """(a, b) of distinct fingerprints in rows (key, fp); of fp ``width`` bytes are compared, or all."""
     large = keys.groupBy("key").count().filter(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") * 2 / tile_rows).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     tiled = keys.join(cut(large, "large-buckets"), "key", "left").withColumn("mine", mine).withColumn("other", other)
     placed = tiled.select("key", F.when(F.col("parts").isNull(), 0).otherwise(_tile("mine", "other")).cast("int").alias("tile"), "fp")
-    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compared(radii, width), "a binary, b binary, sure boolean").distinct()
+    return placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_compared(radius, width), "a binary, b binary").distinct()
 
 
 def classes(docs_fp: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -379,8 +329,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
     """<id>, fingerprint (16 hex digits), component_id per row: fingerprints link at ``radius`` or fewer differing bits, all of them."""
     marked = cut(fingerprints(docs, words, 1, id_col, text_col), "simhash")
     distinct = cut(marked.select("fp").distinct(), "distinct-fp")
-    pairs = links(distinct, pigeonhole(radius), Radii(radius, radius), tile_rows)
-    found = classes(marked, pairs.select("a", "b"))
+    found = classes(marked, links(keyed(distinct, pigeonhole(radius)), radius, tile_rows))
     return marked.join(found, "fp").select(F.col("_id").alias(id_col), F.lower(F.hex(_reversed("fp"))).alias("fingerprint"), "component_id")
 
 
@@ -389,10 +338,11 @@ def _reversed(col: str):
     return F.concat(*[F.substring(F.col(col), 8 - i, 1) for i in range(8)])
 
 
-#: Bits of fingerprints for similarity search.  At 0.8, 39 of 256 bits differ (standard deviation 6).
+#: Bits of fingerprints for similarity search: of 256, 39 differ at 0.8 (standard deviation 6), 48 between sets of four and five.
 SEARCH_LANES = 4
-SEARCH_RADIUS = 57
-SEARCH_RECALL = 0.97
+SEARCH_RADIUS = 64
+#: At 0.8, a pair shares one of the bands with the probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
+SEARCH_BANDS, SEARCH_ROWS = 12, 4
 
 
 def set_links(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -515,16 +465,16 @@ def similar_pairs(sets: DataFrame, similarity: float, part_rows: int = PART_ROWS
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text_hash, component_id): texts of that Jaccard similarity of their shingle sets, and what they reach, share a component.
 
-    Candidates come from sampled bits of 256-bit fingerprints, at the stated recall
-    for pairs just at the threshold.  They only say which texts to compare: within
-    what candidates connect, every two texts are decided by the exact similarity of
+    Candidates share one of a fixed number of bands, and their 256-bit fingerprints
+    differ in SEARCH_RADIUS bits at most: a matter of chance, for which the README states
+    the recall.  They only say which texts to compare: within what candidates connect, every two texts are decided by the exact similarity of
     their shingle sets, whatever the group's size (unless connected already).
     Fingerprints are those of the sets, and only texts of equal sets count as one.
     """
-    marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col, sets=True), "simhash")
-    distinct = cut(marked.select("fp").distinct(), "distinct-fp")
-    tables = sampled(distinct.count(), similarity, SEARCH_RECALL, 64 * SEARCH_LANES)
-    candidates = cut(links(distinct, tables, Radii(SEARCH_RADIUS, SEARCH_RADIUS), width=8 * SEARCH_LANES).select("a", "b"), "simhash-links")
+    marked = cut(fingerprints(docs, words, SEARCH_LANES, id_col, text_col, (SEARCH_BANDS, SEARCH_ROWS)), "simhash")
+    distinct = cut(marked.groupBy("fp").agg(F.first("bands").alias("bands")), "distinct-fp")
+    keys = distinct.select(F.explode("bands").alias("key"), "fp")
+    candidates = cut(links(keys, SEARCH_RADIUS, width=8 * SEARCH_LANES), "simhash-links")
     grouped = cut(connected_components(candidates), "candidate-groups")
 
     def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from stratablock.llm.components import connected_components
-from stratablock.llm.simhash import Radii, bucket_links, fingerprint, forest, near_duplicates, pigeonhole, set_fingerprint, set_links, shingle_hashes, simhash_components, spanning
+from stratablock.llm.simhash import SEARCH_BANDS, SEARCH_ROWS, band_keys, bucket_links, fingerprint, forest, near_duplicates, pigeonhole, set_fingerprint, set_links, shingle_hashes, simhash_components
 
 
 def plain_shingles(text, words):
@@ -58,8 +58,7 @@ def test_bucket_links(radius, sizes):
             keys.append(g)
             fps.append(base ^ flips)
     raw = np.array(fps, "<u8").view(np.uint8).reshape(-1, 8)
-    a, b, sure = bucket_links(np.array(keys), raw, Radii(radius, radius))
-    assert sure.all()
+    a, b = bucket_links(np.array(keys), raw, radius)
     want = plain_components(len(fps), lambda x, y: keys[x] == keys[y] and (fps[x] ^ fps[y]).bit_count() <= radius)
     edges = set(zip(a.tolist(), b.tolist()))
     got = plain_components(len(fps), lambda x, y: (x, y) in edges or (y, x) in edges)
@@ -67,33 +66,27 @@ def test_bucket_links(radius, sizes):
     assert len(a) <= len(fps)
 
 
-def test_spanning():
-    rng = np.random.default_rng(8)
-    for _ in range(50):
-        n = int(rng.integers(1, 30))
-        a, b = rng.integers(0, n, 60), rng.integers(0, n, 60)
-        chosen = spanning(n, a, b)
-        root, want = list(range(n)), []
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for k in range(60):
-            if find(a[k]) != find(b[k]):
-                root[find(a[k])] = find(b[k])
-                want.append(k)
-        assert sorted(chosen.tolist()) == want
-
-
-def test_open_links_stay_linear():
+def test_links_stay_linear():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2, 256)
     ones = np.array([base ^ (rng.random(256) < 0.06) for _ in range(400)])
     raw = np.packbits(ones.astype(np.uint8), axis=1, bitorder="little")
-    a, b, sure = bucket_links(np.zeros(400, np.int64), raw, Radii(10, 57))
-    assert 399 <= len(a) <= 4 * 400 and not sure.all()
+    assert len(bucket_links(np.zeros(400, np.int64), raw, 64)[0]) == 399
+
+
+def test_band_keys():
+    """As many keys in common as the similarity says; equal sets have all, whatever their order and repeats."""
+    rng = np.random.default_rng(2)
+    shared = 0
+    for _ in range(400):
+        h = rng.integers(0, 1 << 63, 220).astype(np.uint64)
+        a, b = band_keys(h[:200], 20, 2), band_keys(np.concatenate([h[20:], h[30:60]]), 20, 2)
+        shared += int((a == b).sum())
+    expected = (180 / 220) ** 2
+    assert abs(shared / 8000 - expected) < 0.02
+    assert band_keys(h, 12, 4).tolist() == band_keys(np.concatenate([h[::-1], h]), 12, 4).tolist()
+    assert len(set(band_keys(h, 12, 4).tolist())) == 12 == len(band_keys(np.zeros(0, np.uint64), 12, 4))
+    assert 1 - (1 - 0.8**SEARCH_ROWS) ** SEARCH_BANDS > 0.998
 
 
 def test_pigeonhole_misses_nothing():
@@ -256,3 +249,46 @@ def test_equal_fingerprints_of_unlike_sets(documents, monkeypatch):
     rows = [(i, prose(random.Random(i), 40)) for i in range(5)] + [(9, prose(random.Random(3), 40)), (8, ""), (7, None)]
     want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 3, 8: 7, 7: 7}
     assert {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()} == want
+
+
+def pair_at(rng, n):
+    """Two texts of which exactly four in five of all shingles are shared: the worst case."""
+    base = prose(rng, n).split()
+    total = n - 4
+    # one text of all words, and one that goes on for a quarter of its shingles more
+    return " ".join(base), " ".join([*base, *prose(rng, total // 4).split()])
+
+
+def test_recall_at_the_threshold(documents):
+    """Of pairs at 0.8 exactly, short and long, nearly all are found."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        for c, text in enumerate(pair_at(rng, rng.choice([8, 12, 24, 44, 84, 204, 404]))):
+            rows.append((2 * k + c, text))
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    at = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(at) >= 0.8 and np.mean(np.array(at) == 0.8) > 0.9
+    got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
+    assert np.mean([got[2 * k + 1] == 2 * k for k in range(400)]) >= 0.98
+
+
+def test_families_of_one_template(documents):
+    """Texts that share most of a template: all classes as by brute force, and no text in a wrong one."""
+    rng = random.Random(33)
+    rows = []
+    for f in range(6):
+        base = prose(rng, 120).split()
+        for c in range(80):
+            w = list(base)
+            for k in rng.sample(range(120), rng.choice([1, 1, 2, 3])):
+                w[k] = prose(rng, 1)
+            rows.append((1000 * f + c, " ".join(w)))
+    sets = [set(plain_shingles(t, 5)) for _, t in rows]
+    want = exact_classes(sets).tolist()
+    got = {r[0]: r[2] for r in near_duplicates(documents(rows)).collect()}
+    mine = [got[i] for i, _ in rows]
+    joined = [(a, b) for a in range(len(rows)) for b in range(a) if want[a] == want[b]]
+    assert len(joined) > 300
+    assert np.mean([mine[a] == mine[b] for a, b in joined]) >= 0.97
+    assert all(want[a] == want[b] for a in range(len(rows)) for b in range(a) if mine[a] == mine[b])
