@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.names import unique_names
 from .ship import ship
-from .sources.datasource import NAME, RowBlockSource, load_infos
+from .sources.datasource import NAME, RowBlockSource, load_infos, projected
 from .sources.fields import Field
 from .sources.files import plan, read_piece
 
@@ -77,28 +77,39 @@ def record(path: str, number: int) -> dict:
     if not 0 <= number < sum(i.records for i in infos):
         raise IndexError(f"{path} has no record {number}")
     (piece,) = plan(infos, number, 1)
-    fields = piece.info.fields
+    fields = piece.fields
     schema = to_arrow_schema(StructType([f.spark() for f in fields]))
     return next(read_piece(piece, list(range(len(fields))), schema)).to_pylist()[0]
 
 
 def read_batches(spark: SparkSession, path: str, size: int = 65_536, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``size`` rows, partition by partition."""
+    """Batches of ``size`` rows (the last one of fewer), in the files' order, decoded here as they are asked for; no job runs."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    df = scan(spark, path, columns)
-    schema, held = to_arrow_schema(df.schema), []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict())
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
+    infos = load_infos(path)
+    wanted = projected(infos[0].fields, columns)
+    schema = to_arrow_schema(StructType([infos[0].fields[k].spark() for k in wanted]))
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for piece in plan(infos):
+        for batch in read_piece(piece, wanted, schema, batch=min(size, 16_384)):
+            while count + batch.num_rows >= size:
+                part = batch.slice(0, size - count)
+                yield pa.Table.from_batches([*held, part], schema).combine_chunks().to_batches()[0]
+                batch, held, count = batch.slice(part.num_rows), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+        yield pa.Table.from_batches(held, schema).combine_chunks().to_batches()[0]
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "lzf", single_file: bool = False) -> None:
-    """A folder with a file per partition, or one file.  Names that a file can't hold are replaced; the data stay."""
+    """A folder with a file per partition, or one file.  Names that a file can't hold are replaced; the data stay.
+
+    mode ``append`` adds files to a folder whose fields are the same.
+    """
     register(df.sparkSession)
     names = unique_names(df.columns)
     out = df if names == df.columns else df.toDF(*names)

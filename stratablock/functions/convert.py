@@ -8,7 +8,7 @@ vectorised Python functions; all others are built-in expressions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,14 +91,23 @@ def double_to_fixed(size: int, scale: int):
 
 
 def string_to_fixed(c: Column, size: int, scale: int) -> Column:
-    """A plain decimal; further digits round half up on the first of them; what is too long becomes null."""
+    """A plain decimal of any length; further digits round half up on the first of them; what is too long becomes null.
+
+    All of it is done on digits, so nothing is lost beyond those that a decimal holds.
+    """
     led = F.regexp_replace(c, r"^([+-]?)\.", "$10.")
-    sign = F.when(led.startswith("-"), "-").otherwise("")
-    whole = F.regexp_extract(led, r"^[+-]?(\d+)(?:\.(\d+))?$", 1)
-    part = F.rpad(F.regexp_extract(led, r"^[+-]?(\d+)(?:\.(\d+))?$", 2), scale + 1, "0")
-    value = F.concat(sign, whole, F.lit("."), part).try_cast(T.DecimalType(38, scale + 1))
-    rounded = F.round(value, scale).try_cast(T.DecimalType(38, scale)).cast("string")
-    return F.when(led.rlike(r"^[+-]?\d+(\.\d+)?$") & (F.length(rounded) <= size), rounded)
+    part = F.regexp_extract(led, r"\.(\d+)\z", 1)
+    kept = F.regexp_extract(led, r"^[+-]?(\d+)", 1)
+    if scale:
+        kept = F.concat(kept, F.rpad(F.substring(part, 1, scale), scale, "0"))
+    head = F.rtrim(kept, F.lit("9"))
+    zeros = F.repeat(F.lit("0"), F.length(kept) - F.length(head))
+    raised = F.when(head == "", F.concat(F.lit("1"), zeros)).otherwise(F.concat(F.left(head, F.length(head) - 1), (F.right(head, F.lit(1)).try_cast("int") + 1).cast("string"), zeros))
+    digits = F.when(F.substring(part, scale + 1, 1) >= "5", raised).otherwise(kept)
+    whole = F.regexp_replace(F.left(digits, F.length(digits) - scale), r"^0+(?=\d)", "")
+    sign = F.when(led.startswith("-") & digits.rlike("[1-9]"), "-").otherwise("")
+    text = F.concat(sign, whole, F.lit("."), F.right(digits, F.lit(scale))) if scale else F.concat(sign, whole)
+    return F.when(led.rlike(r"^[+-]?\d+(\.\d+)?\z") & (F.length(text) <= size), text)
 
 
 def number_to_bool(c: Column) -> Column:
@@ -119,17 +128,23 @@ def fixed_to_bool(c: Column) -> Column:
 
 
 def is_date(c: Column) -> Column:
-    return c.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.substring(c, 1, 4) >= "1400") & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull()
+    """yyyy-mm-dd from 1400 on, and nothing after it, no line end either."""
+    return F.when(c.isNotNull(), c.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (F.substring(c, 1, 4) >= "1400") & c.try_cast("date").isNotNull())
 
 
 def is_time(c: Column) -> Column:
-    return c.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$")
+    return c.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d\z")
+
+
+def is_datetime(c: Column) -> Column:
+    """A date, or a date and a time with a space between them."""
+    return is_date(c) | (is_date(F.substring(c, 1, 10)) & (F.substring(c, 11, 1) == " ") & is_time(F.substring(c, 12, F.length(c))))
 
 
 def string_to_date(c: Column) -> Column:
     """The first ten characters, if they are a date from 1400 on."""
     head = F.substring(c, 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.substring(c, 1, 4) >= "1400"), head.try_cast("date"))
+    return F.when(is_date(head), head.try_cast("date"))
 
 
 def string_to_time(c: Column) -> Column:
@@ -142,8 +157,7 @@ def string_to_time(c: Column) -> Column:
 def string_to_datetime(c: Column) -> Column:
     """yyyy-mm-dd hh:mm:ss, or a date alone, which means midnight; no T between them."""
     full = F.when(F.length(c) == 10, F.concat(c, F.lit(" 00:00:00"))).otherwise(c)
-    ok = full.rlike(r"^\d{4}-\d{2}-\d{2} ([01]\d|2[0-3]):[0-5]\d:[0-5]\d$") & (F.substring(full, 1, 4) >= "1400")
-    return F.when(ok, full.try_cast("timestamp_ntz"))
+    return F.when(is_datetime(c), full.try_cast("timestamp_ntz"))
 
 
 def datetime_to_string(c: Column) -> Column:
@@ -241,3 +255,28 @@ def lost_values(df: DataFrame, source: list[Field], target: list[Field], separat
     by_name = {f.name: f for f in target}
     both = [(f, by_name[f.name]) for f in source if f.name in by_name]
     return df.agg(*[F.count_if(F.col(f"`{s.name}`").isNotNull() & convert(F.col(f"`{s.name}`"), s, t, separator).isNull()).alias(s.name) for s, t in both])
+
+
+def inexact_values(df: DataFrame, source: list[Field], target: list[Field]) -> DataFrame:
+    """One row: for each integer field that becomes a Float or Double, how many values are too large for all of their digits to be kept for sure."""
+    by_name = {f.name: f for f in target}
+    limits = {"Float": 2.0**23, "Double": 2.0**52}
+    both = [(f, by_name[f.name]) for f in source if f.type in RANGES and f.name in by_name and by_name[f.name].type in limits]
+    return df.agg(*[F.count_if(F.abs(F.col(f"`{s.name}`").cast("decimal(20,0)")) > F.lit(int(limits[t.type]))).alias(s.name) for s, t in both] or [F.lit(0).alias("none")])
+
+
+def conversion_messages(df: DataFrame, source: list[Field], target: list[Field], limit: int = 10, separator: str = ".", quiet: tuple[str, ...] = ()) -> DataFrame:
+    """(field, value, message): for each field of both but those in ``quiet``, ``limit`` values that become null, the least first, and one row more if there are others."""
+    by_name = {f.name: f for f in target}
+    parts = []
+    for s in source:
+        if s.name in by_name and s.name not in quiet:
+            t, c = by_name[s.name], F.col(f"`{s.name}`")
+            lost = df.filter(c.isNotNull() & convert(c, s, t, separator).isNull()).select(c.cast("string").alias("value"))
+            shown = lost.orderBy("value").limit(limit + 1).withColumn("k", F.row_number().over(Window.orderBy("value")))
+            message = F.when(F.col("k") > limit, F.lit("there are more")).otherwise(F.lit(f"doesn't convert from {s.type} to {t.type}"))
+            parts.append(shown.select(F.lit(s.name).alias("field"), F.when(F.col("k") <= limit, F.col("value")).alias("value"), message.alias("message")))
+    made = parts[0] if parts else df.sparkSession.createDataFrame([], "field string, value string, message string")
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    return made

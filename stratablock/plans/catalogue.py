@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import file_schema, num_records, register_view, scan, write, write_sql
 from ..functions import convert as C
+from ..functions import texts as X
 from ..functions.names import unique_names
 from ..operators import schemas
 from ..sources.fields import Field, from_spark
@@ -179,8 +181,39 @@ def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(unique_names(names))), "number int, name string")
 
 
-DATES = ["2024-02-29", "2023-02-29", "1399-12-31", "2024-13-01", "2024-1-5", "1900-02-29"]
-TIMES = ["23:59:59", "24:00:00", "12:60:00", "1:00:00"]
+DATES = ["2024-02-29", "2023-02-29", "1399-12-31", "2024-13-01", "2024-1-5", "1900-02-29", "2024-01-15\n", "2024-01-15 10:00:00", "1400-01-01", ""]
+TIMES = ["23:59:59", "24:00:00", "12:60:00", "1:00:00", "23:59:59\n", "23:59:590", ""]
+STAMPS = ["2024-01-15 10:00:00", "2024-01-15 10:00:00\n", "2024-01-15\n", "2024-01-15", "2024-01-15T10:00:00", "2023-02-29 10:00:00", "1399-12-31 00:00:00", "2024-01-15 24:00:00", "2024-01-15 1:00:00"]
+#: text, and what it is as a FixedDecimal of 60 characters with two places
+DECIMALS = [("123456789012345678901234567890123456789012345.678", "123456789012345678901234567890123456789012345.68"), ("-" + "9" * 45 + ".995", "-1" + "0" * 45 + ".00"), ("0.004", "0.00"), ("-.5", "-0.50"), ("7", "7.00"), ("7.\n", None), ("1.5\n", None), ("1e5", None), ("9" * 60, None)]
+#: text, without white space outside of quotes
+SPACED = [('a  b "c  d" e', 'ab"c  d"e'), (" x ", "x"), ('"  "', '"  "'), ("", ""), ('open " left', 'open" left')]
+#: text, base, number
+BASED = [("ff", 16, 255), ("-0xFF", 16, -255), ("zz", 36, 1295), ("102", 2, 2), ("9223372036854775807", 10, 2**63 - 1), ("9223372036854775808", 10, None), ("-9223372036854775808", 10, -(2**63)), ("z", 10, None), ("  +12", 8, 10), ("0", 2, 0)]
+
+
+def sql_values(rows: list[tuple], names: str) -> str:
+    """rows as SQL."""
+    text = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") v({names})"
+
+
+def based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from functools import reduce
+
+    df = spark.createDataFrame([(t, b) for t, b, _ in BASED], "s string, base int")
+    bases = sorted({b for _, b, _ in BASED})
+    return df.select("s", "base", reduce(lambda out, b: out.when(F.col("base") == b, X.text_to_int(F.col("s"), b)), bases, F).alias("k"))
+
+
+def host_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the host's, batch by batch, within SQL."""
+    @F.pandas_udf("string")
+    def backwards(names: pd.Series) -> pd.Series:
+        return names.str[::-1]
+
+    spark.udf.register("backwards", backwards)
+    return over_tables("SELECT c_custkey, backwards(c_name) AS s FROM {customer}")(spark, sf_dir)
 TEXT = Field("v", "V_WString", 200)
 
 #: name: (query, DuckDB SQL or None)
@@ -254,11 +287,31 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     ),
     "conv_date_validate": (
         literals("dates", DATES, lambda d: d.select("s", C.string_to_date(F.col("s")).alias("d"))),
-        "SELECT s, CASE WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(s AS DATE) >= DATE '1400-01-01' THEN TRY_CAST(s AS DATE) END AS d FROM (VALUES " + ", ".join(f"('{x}')" for x in DATES) + ") v(s)",
+        "SELECT s, CASE WHEN regexp_matches(s[1:10], '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(s[1:10] AS DATE) >= DATE '1400-01-01' THEN TRY_CAST(s[1:10] AS DATE) END AS d FROM (" + sql_values([(x,) for x in DATES], "s") + ")",
+    ),
+    "conv_is_date": (
+        literals("dates", DATES, lambda d: d.select("s", C.is_date(F.col("s")).alias("ok"))),
+        "SELECT s, regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND s >= '1400' AND TRY_CAST(s AS DATE) IS NOT NULL AS ok FROM (" + sql_values([(x,) for x in DATES], "s") + ")",
     ),
     "conv_time_validate": (
         literals("times", TIMES, lambda d: d.select("s", C.is_time(F.col("s")).alias("ok"))),
-        "SELECT s, regexp_matches(s, '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$') AS ok FROM (VALUES " + ", ".join(f"('{x}')" for x in TIMES) + ") v(s)",
+        "SELECT s, regexp_matches(s, '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$') AS ok FROM (" + sql_values([(x,) for x in TIMES], "s") + ")",
+    ),
+    "conv_datetime_validate": (
+        literals("stamps", STAMPS, lambda d: d.select("s", C.string_to_datetime(F.col("s")).alias("ts"))),
+        "SELECT s, CASE WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?$') AND s >= '1400' THEN TRY_CAST(s AS TIMESTAMP) END AS ts FROM (" + sql_values([(x,) for x in STAMPS], "s") + ")",
+    ),
+    "conv_fixed_decimal_text": (literals("decimals", [t for t, _ in DECIMALS], lambda d: d.select("s", C.string_to_fixed(F.col("s"), 60, 2).alias("f"))), sql_values(DECIMALS, "s, f")),
+    "text_compacted": (literals("spaced", [t for t, _ in SPACED], lambda d: d.select("s", X.compacted(F.col("s")).alias("c"))), sql_values(SPACED, "s, c")),
+    "text_to_int": (based, sql_values(BASED, "s, base, k")),
+    "int_to_text": (
+        lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", X.int_to_text(F.col("p_partkey") * 1_000_003, 36).alias("s"), X.int_to_text(-F.col("p_partkey"), 2).alias("b")),
+        "SELECT p_partkey, lower(to_base(p_partkey * 1000003, 36)) AS s, CASE WHEN p_partkey > 0 THEN '-' ELSE '' END || to_base(p_partkey, 2) AS b FROM part",
+    ),
+    "text_hash": (lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", X.hash128(F.col("c_name")).alias("h")), "SELECT c_custkey, md5(c_name) AS h FROM customer"),
+    "text_same": (
+        lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", X.same_text(F.col("p_name"), F.upper("p_name")).alias("same"), X.begins_with(F.col("p_type"), F.lower(F.left("p_type", F.lit(3)))).alias("begins")),
+        "SELECT p_partkey, lower(p_name) = lower(upper(p_name)) AS same, starts_with(lower(p_type), lower(p_type[1:3])) AS begins FROM part",
     ),
     "conv_blob_to_string": (
         conversion("documents", ["doc_id"], lambda d: d.withColumn("v", F.encode("text", "UTF-8")), Field("v", "Blob"), TEXT, "s"),
@@ -272,9 +325,13 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
         lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", C.convert(F.col("c_acctbal"), Field("c_acctbal", "FixedDecimal", 20, 2), TEXT, ",").alias("s")),
         "SELECT c_custkey, translate(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '.,', ',.') AS s FROM customer",
     ),
-    "number_texts": (number_texts, None),
-    "field_names": (field_names, None),
-    "schema_listing": (schema_listing, None),
+    "number_texts": (number_texts, "SELECT o_orderkey, printf('%.15g', o_totalprice) AS s FROM orders"),
+    "field_names": (field_names, sql_values(list(enumerate(["n_nationkey", "n_name", "n_regionkey", "N_NAME2", "Field_5", "x", "X2", "X3", "F2", "f3"])), "number, name")),
+    "schema_listing": (
+        schema_listing,
+        "SELECT * FROM (VALUES (0, 'o_orderkey', 'Int64', 0, 0, true, false), (1, 'o_custkey', 'Int64', 0, 0, true, false), (2, 'o_orderstatus', 'V_WString', 262144, 0, false, false), (3, 'o_totalprice', 'Double', 0, 0, true, false), "
+        "(4, 'o_orderdate', 'DateTime', 0, 0, false, true), (5, 'o_orderpriority', 'V_WString', 262144, 0, false, false)) v(number, name, type, size, scale, is_numeric, is_date)",
+    ),
     "join_inner": same("SELECT n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name"),
     "join_left": same("SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey"),
     "join_full": same("SELECT c_custkey, s_suppkey FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey * 20"),
@@ -297,6 +354,55 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "set_except": same("SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT r_regionkey FROM {region}"),
     "cte_subquery": same("WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM {orders} GROUP BY o_custkey) SELECT c_custkey, m FROM {customer} JOIN big ON c_custkey = o_custkey WHERE m > (SELECT avg(o_totalprice) FROM {orders})"),
     "scalar_text": same("SELECT c_custkey, upper(c_name) AS u, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '#', '-') AS r FROM {customer}"),
+    "join_right": same("SELECT s_suppkey, n_name FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey"),
+    # two tables of a fixed size each
+    "join_cross": same("SELECT n_name, r_name FROM {nation} CROSS JOIN {region}"),
+    "join_interval": same("SELECT p.event_id AS pid, e.event_id AS eid FROM {events} p JOIN {events} e ON p.user_id = e.user_id AND e.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts WHERE p.event_type = 'purchase' AND e.event_type = 'signup'"),
+    "agg_quantiles": same("SELECT o_orderstatus, round(median(o_totalprice), 4) AS m, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS q FROM {orders} GROUP BY o_orderstatus"),
+    "agg_variance": same("SELECT l_returnflag, round(var_samp(l_quantity), 4) AS vs, round(var_pop(l_quantity), 4) AS vp, round(stddev_pop(l_discount), 6) AS sp, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS cv FROM {lineitem} GROUP BY l_returnflag"),
+    "agg_approximate": same("SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.15 * count(DISTINCT user_id) AS near FROM {events} GROUP BY event_type"),
+    "agg_logic": same("SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS every, bool_or(o_totalprice > 450000) AS some, max_by(o_orderkey, o_orderkey) AS last, min_by(o_orderpriority, o_orderkey) AS first FROM {orders} GROUP BY o_orderstatus"),
+    "agg_collect": (
+        over_tables("SELECT n_regionkey, array_join(array_sort(collect_set(n_name)), ',') AS names, size(collect_list(n_nationkey)) AS n FROM {nation} GROUP BY n_regionkey"),
+        "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, CAST(len(list(n_nationkey)) AS INTEGER) AS n FROM nation GROUP BY n_regionkey",
+    ),
+    "window_ranks": same(
+        "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey) AS BIGINT) AS q, "
+        "round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c FROM {orders} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)"
+    ),
+    "window_values": same(
+        "SELECT event_id, lead(event_id, 2) OVER w AS l, first_value(event_id) OVER w AS f, last_value(event_id) OVER a AS z, "
+        "nth_value(event_id, 2) OVER a AS n FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    ),
+    "window_range": same("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS c FROM {events}"),
+    "set_union_all": same("SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}"),
+    "set_intersect_all": same("SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}"),
+    "set_except_all": same("SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}"),
+    "cte_recursive": same("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t"),
+    "subquery_correlated": same("SELECT n_name, (SELECT count(*) FROM {customer} WHERE c_nationkey = n_nationkey) AS n FROM {nation} WHERE n_regionkey IN (SELECT r_regionkey FROM {region} WHERE r_name LIKE 'A%')"),
+    "unpivot": same("SELECT c_custkey, k, v FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS nation, c_custkey * 2 AS twice FROM {customer}) t UNPIVOT (v FOR k IN (nation, twice))"),
+    "values_list": same("SELECT k, s FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, s) WHERE k > 1"),
+    "sample_rows": (over_tables("SELECT count(*) > 0 AND count(*) <= (SELECT count(*) FROM {orders}) AS some FROM {orders} TABLESAMPLE (50 PERCENT) REPEATABLE (7)"), "SELECT count(*) > 0 AND count(*) <= (SELECT count(*) FROM orders) AS some FROM orders TABLESAMPLE 50%"),
+    "scalar_dates": same(
+        "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(dayofyear(o_orderdate) AS BIGINT) AS d, last_day(CAST(o_orderdate AS DATE)) AS e, "
+        "CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS later, CAST(o_orderdate AS DATE) > DATE '1995-06-30' AS after FROM {orders}"
+    ),
+    "scalar_math": same("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_discount * 100) AS BIGINT) AS c, round(sqrt(l_quantity), 6) AS s, round(ln(l_extendedprice), 6) AS g, l_orderkey % 7 AS r, greatest(l_quantity, 10) AS hi, nullif(l_linenumber, 1) AS n, coalesce(nullif(l_linenumber, 1), 0) AS z FROM {lineitem}"),
+    "scalar_strings": same("SELECT p_partkey, trim('  x ') AS t, lpad(p_brand, 12, '*') AS l, reverse(p_name) AS r, concat_ws('-', p_brand, p_type) AS c, split_part(p_brand, '#', 2) AS b, p_name LIKE '%1%' AS k, substr(p_type, 2, 4) AS s, CAST(instr(p_brand, '#') AS BIGINT) AS i FROM {part}"),
+    "scalar_json": (over_tables("SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}"), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+    "nested_arrays": (
+        over_tables("SELECT vec_id, size(embedding) AS n, array_max(embedding) AS hi, size(filter(embedding, x -> x > 0)) AS some, element_at(embedding, 1) AS first FROM {embeddings}"),
+        "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, list_max(embedding) AS hi, CAST(len([x for x in embedding if x > 0]) AS INTEGER) AS some, embedding[1] AS first FROM embeddings",
+    ),
+    "nested_explode": (
+        over_tables("SELECT vec_id, count(*) AS n FROM (SELECT vec_id, explode(embedding) AS x FROM {embeddings}) WHERE x > 0 GROUP BY vec_id"),
+        "SELECT vec_id, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 0 GROUP BY vec_id",
+    ),
+    "nested_maps_structs": (
+        over_tables("SELECT n_nationkey, element_at(map('a', n_regionkey, 'b', n_nationkey), 'b') AS m, named_struct('k', n_nationkey, 's', n_name).s AS s FROM {nation}"),
+        "SELECT n_nationkey, MAP {'a': n_regionkey, 'b': n_nationkey}['b'] AS m, {'k': n_nationkey, 's': n_name}.s AS s FROM nation",
+    ),
+    "host_function": (host_function, "SELECT c_custkey, reverse(c_name) AS s FROM customer"),
     "join_asof": (
         lambda spark, sf_dir: as_of(table(spark, sf_dir, "events")),
         "SELECT p.event_id AS pid, e.event_id AS eid FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'signup') e ON p.user_id = e.user_id AND p.ts >= e.ts",
@@ -309,14 +415,21 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
 
 
 def as_of(events: DataFrame) -> DataFrame:
-    """For each purchase, its user's latest signup until then: one window over both, no join."""
+    """For each purchase, its user's latest signup until then: windows over a user's day, and over a user's days, no join of events.
+
+    So a user with very many events is as many tasks' as there are days; what is carried from day to day is one row a day.
+    """
     from pyspark.sql import Window
 
-    both = events.filter("event_type IN ('purchase', 'signup')")
-    before = Window.partitionBy("user_id").orderBy("ts", F.expr("event_type = 'purchase'")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = events.filter("event_type IN ('purchase', 'signup')").withColumn("day", F.to_date("ts"))
     signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    latest = both.withColumn("eid", F.last(signup, ignorenulls=True).over(before))
-    return latest.filter("event_type = 'purchase' AND eid IS NOT NULL").select(F.col("event_id").alias("pid"), "eid")
+    of_day = Window.partitionBy("user_id", "day").orderBy("ts", F.expr("event_type = 'purchase'")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = both.withColumn("eid", F.last(signup, ignorenulls=True).over(of_day))
+    days = both.groupBy("user_id", "day").agg(F.max_by(signup, F.when(signup.isNotNull(), F.struct("ts", "event_id"))).alias("last"))
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).select("user_id", "day", "carried")
+    found = latest.filter("event_type = 'purchase'").join(carried, ["user_id", "day"]).withColumn("eid", F.coalesce("eid", "carried"))
+    return found.filter("eid IS NOT NULL").select(F.col("event_id").alias("pid"), "eid")
 
 
 def queries() -> dict[str, Query]:

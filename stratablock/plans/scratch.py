@@ -13,6 +13,10 @@ _own: dict[str, str] = {}
 def scratch_path(spark: SparkSession, label: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, tempfile.mkdtemp(prefix="rowblock-")) if app not in _own else _own[app]
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="rowblock-")
+        named = _own[app]
     return f"{named.rstrip('/')}/rowblock/{label}-{uuid.uuid4().hex}"

@@ -12,9 +12,11 @@ Reading: one partition for each ``blocksPerPartition`` blocks.  Options:
 Spark's Python sources are told neither which columns nor how many rows a query
 needs, so those are options here; ``stratablock.scan`` sets them.
 
-Writing: a file per task in the folder; names become valid and _SUCCESS appears when
-all tasks have succeeded.  Options: compression (``lzf`` or ``none``), singleFile,
-nameRule.
+Writing: a file per task in a folder beside the target; names become valid and _SUCCESS
+appears when all tasks have succeeded.  Overwriting swaps folders: until the new one is in
+its place, the old one stays, under another name for the moment between.  Appending moves
+the new files, whose fields must be those of the old ones, into the folder.  Options:
+compression (``lzf`` or ``none``), singleFile.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.names import unique_names
 from .fields import Field, from_spark
-from .files import SUFFIX, FileInfo, Piece, file_system, list_files, plan, read_info, read_piece, write_file
+from .files import SUFFIX, FileInfo, Piece, file_system, list_files, plan, read_info, read_infos, read_piece, write_file
 
 NAME = "rowblock"
-MAX_PARTITIONS = 20_000
+#: A larger table has more blocks in each partition, so that a driver can hold the list of them; blocksPerPartition overrides it.
+MAX_PARTITIONS = 100_000
 
 
 def wanted_columns(text: str | None) -> list[str] | None:
@@ -53,7 +56,7 @@ def projected(fields: tuple[Field, ...], columns: list[str] | None) -> list[int]
 
 
 def load_infos(path: str) -> list[FileInfo]:
-    infos = [read_info(p) for p in list_files(path)]
+    infos = read_infos(list_files(path))
     kinds = [[(f.type, f.name.lower(), f.size, f.scale) for f in i.fields] for i in infos]
     for info, kind in zip(infos, kinds):
         if kind != kinds[0]:
@@ -115,7 +118,7 @@ class RowBlockReader(DataSourceReader):
             return
         o = {k.lower(): v for k, v in self.options.items()}
         schema = to_arrow_schema(self.schema)
-        wanted = projected(partition.piece.info.fields, wanted_columns(o.get("columns")))
+        wanted = projected(partition.piece.fields, wanted_columns(o.get("columns")))
         yield from read_piece(partition.piece, wanted, schema, "rowindex" in o, int(o.get("batchsize", 16_384)))
 
 
@@ -128,11 +131,30 @@ class RowBlockWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex
         fs, place = file_system(self.path)
-        if not overwrite and fs.get_file_info(place).type.name != "NotFound":
-            raise FileExistsError(f"{self.path} is there already; write with mode overwrite")
+        kind = fs.get_file_info(place).type.name
+        if not overwrite and kind != "NotFound":
+            if self._single() or kind == "File":
+                raise FileExistsError(f"{self.path} is there already and is one file; write with mode overwrite")
+            self._check_fields()
+
+    def _check_fields(self) -> None:
+        """Appended files have the fields of those that are there."""
+        try:
+            there = list_files(self.path)
+        except FileNotFoundError:
+            return
+        old = read_info(there[0]).fields
+        kind = lambda fields: [(f.type, f.name.lower(), f.size, f.scale) for f in fields]
+        if kind(old) != kind(self.fields):
+            raise ValueError(f"{self.path}: the fields to append differ from those that are there")
+
+    def _beside(self, what: str) -> str:
+        """A name in the same folder that no scan of it lists."""
+        parent, _, name = self.path.rstrip("/").rpartition("/")
+        return f"{parent}/_{what}-{self.job}-{name}" if parent else f"_{what}-{self.job}-{name}"
 
     def _staging(self) -> str:
-        return f"{self.path.rstrip('/')}/_staging-{self.job}" if not self._single() else f"{self.path}._staging-{self.job}"
+        return self._beside("staging")
 
     def _single(self) -> bool:
         return self.options.get("singlefile", "").lower() == "true"
@@ -154,6 +176,8 @@ class RowBlockWriter(DataSourceArrowWriter):
         return Written(name, write_file(name, self.fields, rows(), self.options.get("compression", "lzf").lower() != "none"))
 
     def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow.fs import FileSelector
+
         fs, place = file_system(self.path)
         staged = sorted((m for m in messages if m is not None and m.staged), key=lambda m: m.staged)
         if len(staged) > 1:
@@ -162,25 +186,52 @@ class RowBlockWriter(DataSourceArrowWriter):
             if len(staged) != 1:
                 raise ValueError("singleFile takes one partition: coalesce(1) first")
             if fs.get_file_info(place).type.name == "Directory":
-                fs.delete_dir(place)
+                fs.move(place, file_system(self._beside("old"))[1])
             fs.move(file_system(staged[0].staged)[1], place)
         else:
-            from pyarrow.fs import FileSelector
-
-            old = [i for i in fs.get_file_info(FileSelector(place)) if not i.base_name.startswith("_staging-")]
-            for i in old if self.overwrite else []:
-                fs.delete_file(i.path) if i.type.name == "File" else fs.delete_dir(i.path)
-            for m in staged:
-                source = file_system(m.staged)[1]
-                fs.move(source, f"{place}/{source.rpartition('/')[2]}")
+            kept = {m.staged.rpartition("/")[2] for m in staged}
+            folder = file_system(self._staging())[1]
+            fs.create_dir(folder, recursive=True)
+            # files of attempts that failed, and empty ones, don't come along
+            for i in fs.get_file_info(FileSelector(folder)):
+                if i.base_name not in kept:
+                    fs.delete_file(i.path)
+            if not self.overwrite and fs.get_file_info(place).type.name == "Directory":
+                for name in sorted(kept):
+                    fs.move(f"{folder}/{name}", f"{place}/{name}")
+            else:
+                self._swap(fs, folder, place)
             with fs.open_output_stream(f"{place}/_SUCCESS"):
                 pass
         self._clear()
 
+    def _swap(self, fs, folder: str, place: str) -> None:
+        """Nothing is deleted before the new files are in their place."""
+        from pyarrow.fs import FileSelector
+
+        old = file_system(self._beside("old"))[1]
+        there = fs.get_file_info(place).type.name != "NotFound"
+        try:
+            if there:
+                fs.move(place, old)
+            fs.move(folder, place)
+        except (OSError, NotImplementedError):  # a store that moves files only: the new ones come before the old ones go
+            before = [i for i in fs.get_file_info(FileSelector(place, allow_not_found=True)) if i.type.name == "File"]
+            for i in fs.get_file_info(FileSelector(folder)):
+                fs.move(i.path, f"{place}/{i.base_name}")
+            for i in before:
+                fs.delete_file(i.path)
+
     def abort(self, messages: list[Written | None]) -> None:
+        fs, place = file_system(self.path)
+        old = file_system(self._beside("old"))[1]
+        if fs.get_file_info(place).type.name == "NotFound" and fs.get_file_info(old).type.name != "NotFound":
+            fs.move(old, place)
         self._clear()
 
     def _clear(self) -> None:
-        fs, place = file_system(self._staging())
-        if fs.get_file_info(place).type.name != "NotFound":
-            fs.delete_dir(place)
+        for what in ("staging", "old"):
+            fs, place = file_system(self._beside(what))
+            kind = fs.get_file_info(place).type.name
+            if kind != "NotFound":
+                fs.delete_file(place) if kind == "File" else fs.delete_dir(place)

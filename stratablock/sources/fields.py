@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from xml.etree import ElementTree
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import quoteattr, unescape
 
 from pyspark.sql import types as T
 
@@ -111,12 +111,29 @@ def to_xml(fields: list[Field]) -> str:
     return "<RecordInfo>" + "".join(lines) + "</RecordInfo>"
 
 
+def _lenient(text: str) -> ElementTree.Element:
+    """The same elements out of text that some writers leave unescaped: a quote that a name and =, or the tag's end, follows ends a value."""
+    attribute = re.compile(r"""([\w:.-]+)\s*=\s*(?:"(.*?)"|'(.*?)')(?=\s+[\w:.-]+\s*=|\s*/?\s*\Z)""", re.S)
+
+    def element(name: str, inner: str) -> ElementTree.Element:
+        return ElementTree.Element(name, {k: unescape(a or b, {"&quot;": '"', "&apos;": "'", "&#xA;": "\n", "&#xD;": "\r"}) for k, a, b in attribute.findall(inner)})
+
+    root = element("RecordInfo", re.match(r"<RecordInfo\b([^>]*?)/?>", text)[1])
+    # a field's tag ends at the first > after which another tag, or the element's end, follows
+    for m in re.finditer(r"<Field\b(.*?)/?>(?=\s*(?:</Field\s*>\s*)?(?:<Field\b|</RecordInfo))", text, re.S):
+        root.append(element("Field", m[1]))
+    return root
+
+
 def from_xml(text: str) -> list[Field]:
     """The fields of the first RecordInfo element in text; none without one."""
     m = re.search(r"<RecordInfo\b[^>]*?(?:/>|>.*?</RecordInfo>)", text, re.S)
     if m is None:
         return []
-    root = ElementTree.fromstring(m[0])
+    try:
+        root = ElementTree.fromstring(m[0])
+    except ElementTree.ParseError:
+        root = _lenient(m[0])
     if root.get("LockIn", "").lower() == "true":
         raise ValueError("the file belongs to an In-Database workflow, which isn't compatible")
     out = []

@@ -5,14 +5,16 @@ from __future__ import annotations
 import struct
 import time
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 
-from .fields import Field, check_record, from_xml, to_xml
+from .fields import VARIABLE, Field, check_record, from_xml, to_xml
 from .lzf import pack, unpack_chunk
-from .records import decode_block, encode_block
+from .records import decode_rows, encode_block
 
 # Fixed values of the format.
 HEADER = struct.Struct("<64sIIqI4xqqqI")
@@ -23,6 +25,12 @@ SUFFIX = ".rb"
 DESCRIPTION = "Row block file"
 #: A block index larger than this isn't believed.
 MAX_BLOCKS = 1 << 28
+#: Records are decoded in runs of about so many bytes, so that memory follows neither a block's rows nor their length.
+SLICE_BYTES = 8 << 20
+#: Headers read at the same time.
+READERS = 32
+#: A finished file is held in memory up to this size, on its way to a store without in-place updates.
+SPOOL_BYTES = 64 << 20
 
 
 def file_system(path: str):
@@ -96,18 +104,29 @@ def read_info(path: str) -> FileInfo:
     return FileInfo(path, fields, records, compression == 1, first, blocks, indexed)
 
 
+def read_infos(paths: list[str]) -> list[FileInfo]:
+    """Headers and indexes of all files, many at a time: reading them is waiting for the store."""
+    if len(paths) < 2:
+        return [read_info(p) for p in paths]
+    with ThreadPoolExecutor(min(READERS, len(paths))) as pool:
+        return list(pool.map(read_info, paths))
+
+
 @dataclass(frozen=True)
 class Piece:
-    """Records of consecutive blocks of a file: of the block at ``place``, which holds record ``first``, skip some, then take."""
+    """Records of consecutive blocks of a file: of those from ``place`` on, the first of which is number ``at``, skip some, then take."""
 
-    info: FileInfo
-    block: int
+    path: str
+    fields: tuple[Field, ...]
+    compressed: bool
+    place: int
+    at: int
     skip: int
     take: int
 
     @property
     def first_record(self) -> int:
-        return self.block * BLOCK_RECORDS + self.skip
+        return self.at + self.skip
 
 
 def plan(infos: list[FileInfo], offset: int = 0, limit: int | None = None, blocks_each: int = 1) -> list[Piece]:
@@ -122,79 +141,64 @@ def plan(infos: list[FileInfo], offset: int = 0, limit: int | None = None, block
         left -= end - begin
         step = BLOCK_RECORDS * blocks_each
         while begin < end:
-            block = begin // BLOCK_RECORDS
+            block = begin // BLOCK_RECORDS if info.indexed else 0
             stop = min(end, (block // blocks_each + 1) * step) if info.indexed else end
-            pieces.append(Piece(info, block, begin - block * BLOCK_RECORDS, stop - begin) if info.indexed else Piece(info, 0, begin, end - begin))
+            at = block * BLOCK_RECORDS
+            pieces.append(Piece(info.path, info.fields, info.compressed, info.blocks[block], at, begin - at, stop - begin))
             begin = stop
     return pieces
 
 
 def read_piece(piece: Piece, wanted: list[int], schema: pa.Schema, row_index: bool = False, batch: int = 16_384) -> Iterator[pa.RecordBatch]:
     """Batches of the piece; schema is that of the wanted fields, and of the row index after them."""
-    info, inner = piece.info, (pa.schema(list(schema)[:-1]) if row_index else schema)
-    fs, place = file_system(info.path)
-    at_record, skip, take = piece.block * BLOCK_RECORDS, piece.skip, piece.take
+    inner = pa.schema(list(schema)[:-1]) if row_index else schema
+    fs, place = file_system(piece.path)
+    at, skip, take = piece.at, piece.skip, piece.take
     with fs.open_input_file(place) as source:
-        source.seek(info.blocks[piece.block] if info.indexed else info.first_block)
-        fields = list(info.fields)
-        fixed = sum(f.width for f in fields)
-        variable = any(f.width == 4 and f.type in ("V_String", "V_WString", "Blob", "SpatialObj") for f in fields)
-        pending = b""
-        while take > 0:
-            n = min(BLOCK_RECORDS, info.records - at_record)
-            if info.compressed:
-                parts, size = [pending], len(pending)
-                # blocks start at chunk borders; without an index, what a chunk holds beyond the block is kept
-                while not _complete(parts, size, n, fixed, variable):
-                    part = unpack_chunk(source.read)
-                    if not part:
-                        raise ValueError(f"{info.path}: the records are cut off")
-                    parts.append(part)
-                    size += len(part)
-                raw = b"".join(parts)
-                used = _length(raw, n, fixed, variable)
-                raw, pending = raw[:used], raw[used:]
-            else:
-                raw = pending
-                while (used := _length(raw, n, fixed, variable)) is None:
-                    part = source.read(1 << 22)
-                    if not part:
-                        raise ValueError(f"{info.path}: the records are cut off")
-                    raw += part
-                raw, pending = raw[:used], raw[used:]
-            stop = min(n, skip + take)
-            if skip < n:
-                whole = decode_block(raw, fields, n, wanted, inner, skip, stop - skip) if wanted else None
-                for i in range(0, stop - skip, batch):
-                    m = min(batch, stop - skip - i)
-                    columns = list(whole.slice(i, m).columns) if whole is not None else []
-                    if row_index:
-                        begin = at_record + skip + i
-                        columns.append(pa.array(range(begin, begin + m), pa.int64()))
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema) if columns else pa.RecordBatch.from_struct_array(pa.array([{}] * m, pa.struct([])))
-                take -= stop - skip
-            skip = max(0, skip - n)
-            at_record += n
-
-
-def _length(raw: bytes, n: int, fixed: int, variable: bool) -> int | None:
-    """Bytes of n records at the start of raw; None if raw is too short."""
-    if not variable:
-        return n * fixed if len(raw) >= n * fixed else None
-    at = 0
-    for _ in range(n):
-        if at + fixed + 4 > len(raw):
-            return None
-        at += fixed + 4 + int.from_bytes(raw[at + fixed : at + fixed + 4], "little")
-    return at if at <= len(raw) else None
-
-
-def _complete(parts: list[bytes], size: int, n: int, fixed: int, variable: bool) -> bool:
-    if size < n * (fixed + 4 * variable):
-        return False
-    if len(parts) > 1:
-        parts[:] = [b"".join(parts)]
-    return _length(parts[0], n, fixed, variable) is not None
+        source.seek(piece.place)
+        for raw, starts in _records(piece, source, skip + take, batch):
+            gone = min(skip, len(starts))
+            skip -= gone
+            kept = starts[gone:]
+            if len(kept):
+                columns = list(decode_rows(raw, list(piece.fields), kept, wanted, inner).columns) if wanted else []
+                if row_index:
+                    columns.append(pa.array(np.arange(at + gone, at + len(starts)), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema) if columns else pa.RecordBatch.from_struct_array(pa.array([{}] * len(kept), pa.struct([])))
+            at += len(starts)
+
+
+def _records(piece: Piece, source: BinaryIO, n: int, rows: int) -> Iterator[tuple[bytearray, np.ndarray]]:
+    """The next n records in runs of ``rows`` at most, or of little more than SLICE_BYTES: bytes, and where each record starts.
+
+    What follows a run in the last chunk is the next run's beginning, wherever blocks end; each byte is walked over once.
+    """
+    fixed = sum(f.width for f in piece.fields)
+    variable = any(f.type in VARIABLE for f in piece.fields)
+    more = struct.Struct("<I").unpack_from
+    raw, starts, at = bytearray(), [], 0
+    while n > 0:
+        most = min(n, rows)
+        if variable:
+            while len(starts) < most and at < SLICE_BYTES and at + fixed + 4 <= len(raw):
+                end = at + fixed + 4 + more(raw, at + fixed)[0]
+                if end > len(raw):
+                    break
+                starts.append(at)
+                at = end
+        else:
+            count = min(most, len(raw) // fixed)
+            if count == most or len(raw) >= SLICE_BYTES:
+                starts, at = range(0, count * fixed, fixed), count * fixed
+        if len(starts) == most or at >= SLICE_BYTES:
+            yield raw, np.array(starts, np.int64)
+            n -= len(starts)
+            raw, starts, at = raw[at:], [], 0
+            continue
+        part = unpack_chunk(source.read) if piece.compressed else source.read(1 << 20)
+        if not part:
+            raise ValueError(f"{piece.path}: the records are cut off")
+        raw += part
 
 
 class FileWriter:
@@ -239,23 +243,25 @@ class FileWriter:
 
 
 def write_file(path: str, fields: list[Field], batches: Iterable[pa.RecordBatch], compress: bool = True, description: str = DESCRIPTION) -> int:
-    """Writes a file; returns its number of records.  What was at the path before stays until the new file is complete."""
-    import os
+    """Writes a file; returns its number of records.  An unfinished one has none, as its header comes last.
+
+    In a mounted file system the file is written where it belongs.  Stores that take streams only get it in one
+    stream out of memory, or, beyond SPOOL_BYTES, out of a temporary file of the task's.
+    """
     import tempfile
 
+    from pyarrow.fs import LocalFileSystem
+
     fs, place = file_system(path)
     fs.create_dir(place.rpartition("/")[0], recursive=True)
-    # stores without in-place updates get the finished file in one stream
-    with tempfile.TemporaryDirectory() as folder:
-        local = os.path.join(folder, "block")
-        with open(local, "w+b") as out:
-            writer = FileWriter(out, fields, compress, description)
-            for b in batches:
-                writer.add(b)
-            head = writer.finish()
-            out.seek(0)
-            out.write(head)
-            out.flush()
+    with open(place, "w+b") if isinstance(fs, LocalFileSystem) else tempfile.SpooledTemporaryFile(SPOOL_BYTES) as out:
+        writer = FileWriter(out, fields, compress, description)
+        for b in batches:
+            writer.add(b)
+        head = writer.finish()
+        out.seek(0)
+        out.write(head)
+        if not isinstance(fs, LocalFileSystem):
             out.seek(0)
             with fs.open_output_stream(place, compression=None) as target:
                 while part := out.read(1 << 22):

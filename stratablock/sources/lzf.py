@@ -21,7 +21,6 @@ MAX_LITERALS = 32
 MAX_MATCH = 264
 #: Shorter repeats aren't looked for.
 MIN_MATCH = 5
-_ONE = [bytes((i,)) for i in range(256)]
 
 
 def lzf_decompress(data: bytes) -> bytes:
@@ -66,39 +65,57 @@ def _matches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(distance <= MAX_DISTANCE)
     distance = distance[at]
     # neighbours at the same distance are one match
-    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(distance) != 0))
-    last = np.concatenate([at[breaks], at[-1:]])
-    length = last[np.searchsorted(breaks, np.arange(len(at)))] - at + MIN_MATCH
+    apart = (np.diff(at) != 1) | (np.diff(distance) != 0)
+    last = np.concatenate([at[:-1][apart], at[-1:]])
+    length = last[np.concatenate([[0], np.cumsum(apart)])[: len(at)]] - at + MIN_MATCH
     return at, distance - 1, np.minimum(length, MAX_MATCH)
 
 
+def _chosen(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """From the first match on, each next one that starts where the one before has ended, or later."""
+    n = len(places)
+    if not n:
+        return places
+    here = np.zeros(int(places[-1]) + MAX_MATCH + 2, np.int32)
+    here[places + 1] = 1
+    follow = np.cumsum(here, dtype=np.int32)[places + lengths].tolist()  # so many matches start before the end of each
+    out, k = [], 0
+    while k < n:
+        out.append(k)
+        k = follow[k]
+    return np.array(out, np.int64)
+
+
 def lzf_compress(data: bytes) -> bytes | None:
-    """data as LZF, or None where that doesn't save a byte."""
+    """data as LZF, or None where that doesn't save a byte.
+
+    Matches are chosen one after the other; everything else, literals and references, is set at once.
+    """
     n = len(data)
     if n < 2 * MIN_MATCH:
         return None
     places, back, lengths = _matches(data)
-    out: list[bytes] = []
-    done = k = 0
-
-    def literals(end: int) -> None:
-        for s in range(done, end, MAX_LITERALS):
-            run = data[s : min(end, s + MAX_LITERALS)]
-            out.append(_ONE[len(run) - 1])
-            out.append(run)
-
-    while k < len(places):
-        i, distance, length = int(places[k]), int(back[k]), int(lengths[k])
-        if i > done:
-            literals(i)
-        out.append(bytes((length - 2 << 5 | distance >> 8, distance & 255) if length < 9 else (224 | distance >> 8, length - 9, distance & 255)))
-        done = i + length
-        k += 1
-        if k < len(places) and places[k] < done:
-            k = int(places.searchsorted(done))
-    literals(n)
-    packed = b"".join(out)
-    return packed if len(packed) < n else None
+    taken = _chosen(places, lengths)
+    at, distance, length = places[taken], back[taken], lengths[taken]
+    begin = np.concatenate([[0], at + length])  # of the literals before each match, and of those at the end
+    count = np.concatenate([at, [n]]) - begin
+    controls = -(-count // MAX_LITERALS)
+    long = length >= 9
+    size = count + controls
+    size[:-1] += np.where(long, 3, 2)
+    if int(size.sum()) >= n:
+        return None
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out[np.repeat(start, count) + inside + inside // MAX_LITERALS + 1] = np.frombuffer(data, np.uint8)[np.repeat(begin, count) + inside]
+    part = np.arange(int(controls.sum())) - np.repeat(np.cumsum(controls) - controls, controls)
+    out[np.repeat(start, controls) + part * (MAX_LITERALS + 1)] = np.minimum(np.repeat(count, controls) - part * MAX_LITERALS, MAX_LITERALS) - 1
+    first = (start + count + controls)[:-1]
+    out[first] = np.where(long, 7, length - 2) << 5 | distance >> 8
+    out[first[long] + 1] = length[long] - 9
+    out[first + np.where(long, 2, 1)] = distance & 255
+    return out.tobytes()
 
 
 def pack(data: bytes, compress: bool = True) -> bytes:

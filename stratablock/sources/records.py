@@ -17,6 +17,8 @@ import pyarrow as pa
 from .fields import BINARY, CHARS, NARROW, NUMBERS, VARIABLE, WIDE, Field
 
 FIRST_YEAR = 1400
+#: Arrow's offsets have 32 bits.
+MAX_SLICE = 2**31 - 1
 
 
 def offsets_of(fields: list[Field]) -> list[int]:
@@ -29,6 +31,14 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The bytes of all values in a row: by places for short ones, else value by value, so that no index outgrows the values."""
+    if int(lengths.sum()) <= 16 * len(lengths):
+        return data[_spread(starts, lengths)].tobytes()
+    view = memoryview(data)
+    return b"".join([view[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist())])
+
+
 def _ends(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
@@ -52,8 +62,10 @@ def _validity(null: np.ndarray) -> pa.Buffer | None:
 
 def _binary(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
     lengths = np.where(null, 0, lengths)
-    ends = _ends(lengths).astype("<i4")
-    return pa.Array.from_buffers(kind, len(null), [_validity(null), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[_spread(starts, lengths)].tobytes())])
+    ends = _ends(lengths)
+    if ends[-1] > MAX_SLICE:
+        raise ValueError("a column's values take more than 2 GiB in one batch: read smaller batches")
+    return pa.Array.from_buffers(kind, len(null), [_validity(null), pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(_gathered(data, starts, lengths))])
 
 
 def _narrow(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -78,7 +90,7 @@ def _narrow(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, null: np.
 
 def _wide(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
     lengths = np.where(null, 0, lengths // 2 * 2)
-    raw = data[_spread(starts, lengths)].tobytes()
+    raw = _gathered(data, starts, lengths)
     units = np.frombuffer(raw, "<u2")
     ends = _ends(lengths) // 2
     if ((units & 0xF800) == 0xD800).any():  # surrogates: pairs count within a value only
@@ -180,13 +192,20 @@ def _column(f: Field, part: np.ndarray, data: np.ndarray, places: np.ndarray, ki
 
 def decode_block(raw: bytes, fields: list[Field], n: int, wanted: list[int], schema: pa.Schema, skip: int = 0, take: int | None = None) -> pa.RecordBatch:
     """Records skip .. skip + take of a block of n as a batch of the wanted fields (by number), in that order."""
-    data = np.frombuffer(raw, np.uint8)
-    places = offsets_of(fields)
-    starts = record_starts(data, places[-1], any(f.type in VARIABLE for f in fields), n)[skip : None if take is None else skip + take]
+    width = sum(f.width for f in fields)
+    starts = record_starts(np.frombuffer(raw, np.uint8), width, any(f.type in VARIABLE for f in fields), n)
+    return decode_rows(raw, fields, starts[skip : None if take is None else skip + take], wanted, schema)
+
+
+def decode_rows(raw: bytes | bytearray, fields: list[Field], starts: np.ndarray, wanted: list[int], schema: pa.Schema) -> pa.RecordBatch:
+    """The records that start at these places as a batch of the wanted fields (by number), in that order."""
+    data, places = np.frombuffer(raw, np.uint8), offsets_of(fields)
+    whole = data if len(data) else np.zeros(4, np.uint8)
     columns = []
     for k, out in zip(wanted, schema):
         at = starts + places[k]
-        columns.append(_column(fields[k], data[at[:, None] + np.arange(fields[k].width)] if len(at) else np.zeros((0, fields[k].width), np.uint8), data if len(data) else np.zeros(4, np.uint8), at, out.type).cast(out.type))
+        part = data[at[:, None] + np.arange(fields[k].width)] if len(at) else np.zeros((0, fields[k].width), np.uint8)
+        columns.append(_column(fields[k], part, whole, at, out.type).cast(out.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema) if columns else pa.RecordBatch.from_struct_array(pa.array([{}] * len(starts), pa.struct([])))
 
 

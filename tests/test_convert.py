@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 from stratablock.functions import convert as C
+from stratablock.functions import texts as X
 from stratablock.sources.fields import Field
 
 TEXT = Field("v", "V_WString", 50)
@@ -33,6 +34,14 @@ def run(spark, values, kind, expr):
         (["True", "t", "9", "0", "no", "", None], "string", lambda v: C.string_to_bool(v), [True, True, True, False, False, False, None]),
         ([True, False, None], "boolean", lambda v: C.bool_to_string(v), ["True", "False", None]),
         (["0.00", "0.10", None], "string", lambda v: C.fixed_to_bool(v), [False, True, None]),
+        (["1" * 50 + ".45", "9" * 48 + ".95", "-0.04", "-0.05", "007.25", "1.5\n"], "string", lambda v: C.string_to_fixed(v, 60, 1), ["1" * 50 + ".5", "1" + "0" * 48 + ".0", "0.0", "-0.1", "7.3", None]),
+        (["0.5", "99.4", "-2.5", "9.5"], "string", lambda v: C.string_to_fixed(v, 3, 0), ["1", "99", "-3", "10"]),
+        (["2024-02-29", "2024-02-29\n", "1399-01-01", "2024-02-30", "x", None], "string", C.is_date, [True, False, False, False, False, None]),
+        (["23:59:59", "23:59:59\n", None], "string", C.is_time, [True, False, None]),
+        (["2024-01-15 10:00:00", "2024-01-15 10:00:00\n", "2024-01-15\n"], "string", lambda v: C.string_to_datetime(v), [dt.datetime(2024, 1, 15, 10), None, None]),
+        (["a b", 'a "b  c" d', None], "string", X.compacted, ["ab", 'a"b  c"d', None]),
+        (["zz", "-10", "", "12345678901234567890123"], "string", lambda v: X.text_to_int(v, 36), [1295, -36, None, None]),
+        ([255, -255, 0, -(2**63), None], "bigint", lambda v: X.int_to_text(v, 16), ["ff", "-ff", "0", "-8000000000000000", None]),
         (["2024-02-29", "2023-02-29", "1399-12-31", "1400-01-01", "1900-02-29", "2024-01-15 10:00:00", "2024-1-5"], "string", lambda v: C.string_to_date(v), [dt.date(2024, 2, 29), None, None, dt.date(1400, 1, 1), None, dt.date(2024, 1, 15), None]),
         (["23:59:59", "24:00:00", "2024-01-15 10:11:12", "1:00:00"], "string", lambda v: C.string_to_time(v), ["23:59:59", None, "10:11:12", None]),
         (["2024-01-15", "2024-01-15 10:11:12", "2024-01-15T10:11:12", "2024-01-15 24:00:00"], "string", lambda v: C.string_to_datetime(v), [dt.datetime(2024, 1, 15), dt.datetime(2024, 1, 15, 10, 11, 12), None, None]),
@@ -67,6 +76,16 @@ def test_table(spark):
     assert [r.x for r in swapped.collect()] == [7.0, None]
 
 
+def test_messages_and_inexact_values(spark):
+    source = [Field("s", "V_WString", 20), Field("n", "Int64"), Field("quiet", "V_WString", 20)]
+    target = [Field("s", "Int32"), Field("n", "Float"), Field("quiet", "Int32")]
+    df = spark.createDataFrame([("x", 1, "q"), ("7", 2**24, "q"), ("b", -(2**23), "q"), ("a", None, "q"), (None, 2**23 + 1, None)], "s string, n long, quiet string")
+    assert C.inexact_values(df, source, target).first().n == 2
+    got = [tuple(r) for r in C.conversion_messages(df, source, target, limit=2, quiet=("quiet",)).collect()]
+    assert got == [("s", "a", "doesn't convert from V_WString to Int32"), ("s", "b", "doesn't convert from V_WString to Int32"), ("s", None, "there are more")]
+    assert C.conversion_messages(df, source, target, limit=9).count() == 7
+
+
 def test_exact_decimal_round_trip():
     from stratablock.sources.records import decimal_text
 

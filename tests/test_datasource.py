@@ -73,8 +73,6 @@ def test_modes_names_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, 2)], "a int, `A` int") if False else spark.createDataFrame([(1, 2)], ["a", "b"]).toDF("a", "A")
     sb.write(df, path)
     assert sb.read(spark, path).columns == ["a", "A2"]
-    with pytest.raises(Exception, match="is there already"):
-        sb.write(spark.range(1), path, mode="append")
     sb.write(spark.range(5).filter("id > 9"), path)
     assert sb.read(spark, path).columns == ["id"] and sb.num_records(path) == 0
     with pytest.raises(Exception, match="no field type"):
@@ -84,6 +82,56 @@ def test_modes_names_and_empty(spark, tmp_path):
     assert sorted(f for f in os.listdir(path) if not f.startswith("part-")) == ["_SUCCESS"]
 
 
+def test_append(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sb.write(spark.range(3), path, mode="append")
+    sb.write(spark.range(3, 5), path, mode="append")
+    sb.write(spark.range(5, 6), path, mode="append", compression="none")
+    assert sorted(r.id for r in sb.scan(spark, path).collect()) == list(range(6))
+    with pytest.raises(Exception, match="differ"):
+        sb.write(spark.range(1).selectExpr("cast(id AS int) AS id"), path, mode="append")
+    sb.write(spark.range(2), str(tmp_path / "one"), single_file=True)
+    for single in (True, False):
+        with pytest.raises(Exception, match="is there already"):
+            sb.write(spark.range(2), str(tmp_path / "one"), mode="append", single_file=single)
+    assert sb.num_records(path) == 6 and sb.num_records(str(tmp_path / "one")) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "t"]
+
+
+def test_commit_never_has_neither(spark, tmp_path, monkeypatch):
+    """If the new folder can't be moved, the old one is put back; it is never deleted before."""
+    from pyarrow.fs import LocalFileSystem
+    from stratablock.sources import datasource as D
+
+    path = str(tmp_path / "t")
+    sb.write(spark.range(3), path)
+
+    class Broken(LocalFileSystem):
+        def move(self, a, b):
+            if "_staging" in a:
+                raise OSError("lost")
+            super().move(a, b)
+
+    writer = D.RowBlockWriter(spark.range(1).schema, True, {"path": path})
+    name = f"{writer._staging()}/part-0.rb"
+    D.write_file(name, writer.fields, [])
+    with monkeypatch.context() as m:
+        m.setattr(D, "file_system", lambda p: (Broken(), p))
+        with pytest.raises(OSError):
+            writer.commit([D.Written(name, 0)])
+        writer.abort([])
+    assert sb.num_records(path) == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert sorted(r.id for r in sb.scan(spark, path).collect()) == [0, 1, 2]
+
+
+def test_batches(spark, numbers):
+    sizes = [b.num_rows for b in sb.read_batches(spark, numbers, 40_000, ["id"])]
+    assert sizes == [40_000, 40_000, 40_000, 30_000]
+    assert [x for b in sb.read_batches(spark, numbers, 7_777, ["id"]) for x in b.column(0).to_pylist()] == list(range(150_000))
+    with pytest.raises(ValueError, match="Unknown column"):
+        next(sb.read_batches(spark, numbers, 10, ["nope"]))
+
+
 def test_failed_write_leaves_the_old_file(spark, tmp_path):
     path = str(tmp_path / "t")
     sb.write(spark.range(3), path)

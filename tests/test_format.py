@@ -159,6 +159,68 @@ def test_block_edges(tmp_path, n, variable):
         assert read(tmp_path / "a.rb", [0], offset=k, limit=3).column(0).to_pylist() == list(range(min(k, n), min(k + 3, n)))
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_runs_of_records(tmp_path, monkeypatch, compress):
+    """However few bytes or rows are decoded at a time, and however long a record is, the rows are the same."""
+    rng = random.Random(7)
+    fields = [Field("id", "Int32"), Field("s", "V_WString", 500_000), Field("b", "Blob")]
+    texts = ["x" * rng.choice([0, 1, 3, 50, 400]) for _ in range(3000)]
+    texts[1500] = "é" * 300_000
+    table = pa.table({"id": pa.array(range(3000), pa.int32()), "s": pa.array(texts), "b": pa.array([None if i % 7 == 0 else bytes([i % 251]) * (i % 90) for i in range(3000)], pa.binary())})
+    write(tmp_path / "a.rb", fields, table, compress=compress)
+    for size, batch in ((8 << 20, 16_384), (1000, 16_384), (8 << 20, 37), (1, 1000)):
+        monkeypatch.setattr(files, "SLICE_BYTES", size)
+        info = files.read_info(str(tmp_path / "a.rb"))
+        (piece,) = files.plan([info], 5, 2990)
+        got = list(files.read_piece(piece, [0, 1, 2], table.schema, batch=batch))
+        assert pa.Table.from_batches(got).equals(table.slice(5, 2990))
+        assert max(b.num_rows for b in got) <= batch
+
+
+def test_wide_rows_take_linear_time_and_bounded_memory(tmp_path):
+    import time
+    import tracemalloc
+
+    def spent(chars):
+        fields = [Field("s", "V_String", 5000)]
+        table = pa.table({"s": pa.array([f"{i} " + "x" * chars for i in range(20_000)])})
+        write(tmp_path / "w.rb", fields, table, compress=False)
+        began = time.perf_counter()
+        assert read(tmp_path / "w.rb").equals(table)
+        return time.perf_counter() - began
+
+    spent(10)
+    assert spent(2000) < 30 * max(spent(100), 0.05)
+    info = files.read_info(str(tmp_path / "w.rb"))
+    tracemalloc.start()
+    spent(2000)
+    tracemalloc.clear_traces()
+    for p in files.plan([files.read_info(str(tmp_path / "w.rb"))]):
+        for _ in files.read_piece(p, [0], pa.schema([("s", pa.string())])):
+            pass
+    assert tracemalloc.get_traced_memory()[1] < 5 * files.SLICE_BYTES and info.records == 20_000
+    tracemalloc.stop()
+
+
+def test_headers_of_many_files(tmp_path):
+    for k in range(70):
+        write(tmp_path / f"{k:03d}.rb", [Field("id", "Int32")], pa.table({"id": pa.array(range(k), pa.int32())}))
+    infos = files.read_infos(files.list_files(str(tmp_path)))
+    assert [i.records for i in infos] == list(range(70))
+    import pickle
+
+    blocks = tuple(range(600, 600 + 5000 * 8, 8))
+    many = files.FileInfo("f", infos[0].fields, 5000 * 65_536, True, 600, blocks, True)
+    pieces = files.plan([many])
+    assert len(pieces) == 5000 and max(len(pickle.dumps(p)) for p in pieces) < 500
+
+
+def test_unescaped_schema_text():
+    text = '<RecordInfo><Field name="a & b" type="Int32"/><Field name="x < "y" > z" size="10" type="V_String" source="File: C:\\a&b"/><Field name="plain" type="Double"></Field></RecordInfo>'
+    assert [(f.name, f.type, f.size) for f in from_xml(text)] == [("a & b", "Int32", 0), ('x < "y" > z', "V_String", 10), ("plain", "Double", 0)]
+    assert from_xml('<RecordInfo><Field name="R&D &amp; x" type="Bool" /></RecordInfo>')[0].name == "R&D & x"
+
+
 def test_without_index_and_uncompressed_records(tmp_path):
     fields = [Field("id", "Int32"), Field("s", "V_String", 90)]
     n = 70_000
