@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="stratablock-")
@@ -39,12 +41,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this application has cut so far: for when the results that read it are written."""
-    jvm = spark.sparkContext._jvm
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+def made_so_far(spark: SparkSession) -> frozenset[str]:
+    return frozenset(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:
+    """Deletes what this application has cut, but for the paths to keep: for when the results that read it are written."""
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    for path in [p for p in _made.get(app, []) if p not in keep]:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _made[app].remove(path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
