@@ -42,11 +42,13 @@ def exact_dedup(
     """
     best = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(text_of(text_col)).alias("_text")).withColumn("_hash", hash_of(F.col("_text")))
-    sha = F.sha2(F.col("_text").cast("binary"), 256)
+    sha = F.unhex(F.sha2(F.col("_text").cast("binary"), 256))
+    # what is said of every row without its text: texts are read again for the comparison of bytes alone
+    sums = cut(rows.select("_id", "_hash", sha.alias("_sha")), "exact-sums")
 
     # Joins below take groups from a written table: with a plain exchange on both
     # sides, adaptive execution can split the partition of a hot hash.
-    groups = cut(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id"), F.max(sha).alias("text_sha256")), "exact-groups")
+    groups = cut(sums.groupBy("_hash").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id")), "exact-groups")
     many = groups.filter("group_size > 1").select("_hash", "keep_id")
     members = cut(rows.join(many, "_hash"), "exact-members")
     stays = cut(members.filter("_id <=> keep_id").groupBy("_hash").agg(F.max("_text").alias("_kept_text")), "exact-stays")
@@ -55,14 +57,14 @@ def exact_dedup(
 
     def decided(r: DataFrame) -> DataFrame:
         kept = F.col("_id").eqNullSafe(F.col("keep_id")) | F.col("keep_id").isNull()
-        return r.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        return r.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
     if differ.isEmpty():
-        return decided(rows.select("_id", "_hash").join(groups, "_hash"))
-    clean = rows.select("_id", "_hash").join(differ, "_hash", "left_anti").join(groups, "_hash")
+        return decided(sums.join(groups, "_hash"))
+    clean = sums.join(differ, "_hash", "left_anti").join(groups, "_hash")
     collided = members.drop("keep_id").join(differ, "_hash", "left_semi")
     regrouped = collided.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id"))
-    return decided(clean).unionByName(decided(collided.join(regrouped, ["_hash", "_text"]).withColumn("text_sha256", sha)))
+    return decided(clean).unionByName(decided(collided.join(regrouped, ["_hash", "_text"]).withColumn("_sha", sha)))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
