@@ -69,13 +69,18 @@ class _Bounded(dict):
 
 
 class UnitEncoder:
-    """ids of texts as little-endian unsigned 16-bit integers (32-bit for large vocabularies)."""
+    """ids of texts as little-endian unsigned 16-bit integers (32-bit for large vocabularies).
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    special_as_text: whether the strings of special tokens are ordinary in a text, or give their ids, as is the library's default.
+    """
+
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary
+        self.tokenizer.encode_special_tokens = special_as_text
+        # a text that holds one of these isn't cut: the library looks for them before it splits
+        self.special = () if special_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         size = max(self.tokenizer.get_vocab().values()) + 1
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -110,6 +115,9 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         get, out = self._spaced.__getitem__, []
         for t in texts:
+            if any(s in t for s in self.special):
+                out.append(self._make_bare(t))
+                continue
             units = cut_units(t)
             out.append(self._make_bare(units[0]) + b"".join(map(get, units[1:])))
         return out
@@ -121,19 +129,19 @@ class UnitEncoder:
         return sizes // self.width
 
 
-_encoders: dict[str, UnitEncoder] = {}
+_encoders: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """One per Python worker and vocabulary."""
-    if path not in _encoders:
+def encoder(path: str, special_as_text: bool = True) -> UnitEncoder:
+    """One per Python worker, vocabulary and way to take special tokens."""
+    if (path, special_as_text) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.freeze()  # millions of short strings follow and no cycles: don't scan what stays
         gc.set_threshold(200_000, 50, 50)
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+        _encoders[path, special_as_text] = UnitEncoder(path, special_as_text=special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def groups(batches: Iterable[pa.RecordBatch], text: int, limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ empty result; columns besides the named ones are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -117,7 +118,19 @@ class TokenTree:
 
 
 #: Fixed values of the clean-up edits: long numbers and addresses are masked, the last line of several goes.
-_MASKS = ((re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"), "<address>"), (re.compile(r"[0-9]{5,}"), "<number>"))
+ADDRESS, NUMBER = "<address>", "<number>"
+# What stands before an @, from its start on, and what stands after it; no place is looked at more than a few times.
+_AROUND_AT = re.compile(r"(?<![^\s@])[^\s@]++@(?=([^\s@]*+))")
+_DIGITS = re.compile("[0-9]{5,}+")
+
+
+def addresses(text: str, end: int) -> Iterator[tuple[int, int]]:
+    """Places of name@host, the host having a dot within it, from left to right; the text counts up to ``end``."""
+    done = 0
+    for m in _AROUND_AT.finditer(text, 0, end):
+        if m.start() >= done and text.find(".", m.start(1) + 1, m.end(1) - 1) >= 0:
+            done = m.end(1)
+            yield m.start(), done
 
 
 def cleanup_edits(text: str) -> list[Edit]:
@@ -125,12 +138,13 @@ def cleanup_edits(text: str) -> list[Edit]:
     last = text.rfind("\n")
     found = [(last, len(text), "")] if last > 0 else []
     end = last if last > 0 else len(text)
-    taken: list[tuple[int, int]] = []
-    for pattern, mask in _MASKS:
-        for m in pattern.finditer(text, 0, end):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((m.start(), m.end(), mask))
-        taken = [(a, b) for a, b, _ in found]
+    taken = list(addresses(text, end))
+    found += [(a, b, ADDRESS) for a, b in taken]
+    starts = [a for a, _ in taken]
+    for m in _DIGITS.finditer(text, 0, end):
+        k = bisect_right(starts, m.start()) - 1  # an address holds all of a number or nothing
+        if k < 0 or taken[k][1] <= m.start():
+            found.append((m.start(), m.end(), NUMBER))
     return sorted(found, reverse=True)
 
 

@@ -11,7 +11,8 @@ A shard is a valid zstandard stream in the public seekable format:
 
 A reader takes the tail of the file, then only the frames it wants.
 
-Documents are range-partitioned by id, so shard order is id order, and each task
+Documents are range-partitioned by id (and the hash of the text, and their place in
+the input, where an id repeats), so shard order is id order, and each task
 streams its range into a file of its own name in the shared folder.  The manifest,
 written by Spark, names the files of the attempts that succeeded; what a lost
 attempt has left is never read.
@@ -124,8 +125,11 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long, bytes long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """Encodes every text and writes shards below path; returns the manifest (shard, path, n_docs, n_tokens, bytes)."""
+def write_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, special_as_text: bool = False) -> DataFrame:
+    """Encodes every text and writes shards below path; returns the manifest (shard, path, n_docs, n_tokens, bytes).
+
+    special_as_text: see UnitEncoder; without it, the ids are the library's with add_special_tokens=False.
+    """
     spark = docs.sparkSession
     folder = path or shared_path(spark, "tokens")
 
@@ -133,7 +137,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special_as_text)
         end = end_id.to_bytes(enc.width, "little")
         shard, writer, n_tokens = TaskContext.get().partitionId(), None, 0
         name = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tok.zst"
@@ -154,7 +158,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [len(writer.entries)], "n_tokens": [n_tokens], "bytes": [size]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    # ranges go on within an id, and within a repeated row: no id, null or other, is one task's
+    order = "_id", "_text_hash", "_row"
+    marked = rows.withColumns({"_text_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    ordered = marked.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     return cut(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 

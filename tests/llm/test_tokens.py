@@ -15,11 +15,18 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
+    """Special tokens' strings are ordinary text."""
     t = Tokenizer.from_file(VOCABULARY)
     t.encode_special_tokens = True
     return t
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The library as it is."""
+    return Tokenizer.from_file(VOCABULARY)
+
+
 def noise(rng, n):
     return "".join(rng.choice(" ab\n's1.\t é日 ") for _ in range(rng.randint(0, n)))
 
@@ -34,6 +41,15 @@ def test_units_give_the_ids_of_whole_texts(plain):
             assert np.frombuffer(got, enc.kind).tolist() == want.ids
 
 
+def test_special_tokens_as_the_library_takes_them(library):
+    rng = random.Random(4)
+    enc = UnitEncoder(VOCABULARY, special_as_text=False)
+    texts = ["<|endoftext|>", "a  <|endoftext|> b", "x <|endoftext|>\n<|endoftext|>", "<|endoftext", *("<|endoftext|>".join(noise(rng, 20) for _ in range(rng.randint(1, 4))) for _ in range(500))]
+    for got, want in zip(enc.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, enc.kind).tolist() == want.ids
+    assert len(np.frombuffer(enc.encode(["a <|endoftext|>"])[0], enc.kind)) < len(np.frombuffer(UnitEncoder(VOCABULARY).encode(["a <|endoftext|>"])[0], enc.kind))
+
+
 def test_tree_follows_edits(plain):
     rng = random.Random(2)
     enc = UnitEncoder(VOCABULARY)
@@ -80,19 +96,64 @@ def test_shard_round_trip_and_damage():
         broken.ids(1)
 
 
-ROWS = [(3, "b c"), (1, None), (2, ""), (None, "x"), (3, "b c"), (9, "Hello  world\n" * 300), (4, "日本 語 é")]
+ROWS = [(3, "b c"), (1, None), (2, ""), (None, "x"), (3, "b c"), (9, "Hello  world\n" * 300), (4, "日本 語 é"), (8, "one <|endoftext|> two")]
 
 
-def test_token_frames(documents, plain):
+def test_token_frames(documents, library):
     got = [tuple(r) for r in read_tokens(write_tokens(documents(ROWS), VOCABULARY)).collect()]
     want, start = [], 0
     for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_a_repeated_id_is_spread(spark, documents):
+    """A third of all rows being one row, and a third having null ids: more shards than distinct ids, in order all the same."""
+    rows = [(7, "same text")] * 3000 + [(None, f"null {i}") for i in range(3000)] + [(100 + i, "x") for i in range(20)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart, as large ones do
+    try:
+        manifest = write_tokens(documents(rows, 8), VOCABULARY)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((tuple(r) for r in read_tokens(manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 3000 + [7] * 3000 + list(range(100, 120))
+    assert sum(r[2] for r in got[:-1]) == got[-1][1]
+    assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 3000
+
+
+def test_cleanup_is_linear():
+    """Long texts without spaces, of addresses, of numbers; and the same edits as by the plain patterns."""
+    import re
+    import time
+
+    address, number = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile("[0-9]{5,}")
+
+    def plain_edits(text):
+        last = text.rfind("\n")
+        end = last if last > 0 else len(text)
+        found = [(m.start(), m.end(), "<address>") for m in address.finditer(text, 0, end)]
+        found += [(m.start(), m.end(), "<number>") for m in number.finditer(text, 0, end) if not any(a < m.end() and m.start() < b for a, b, _ in found)]
+        return sorted(found + ([(last, len(text), "")] if last > 0 else []), reverse=True)
+
+    rng = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "@", ".", " ", "\n", "12345", "b.c", "@d"]) for _ in range(rng.randint(0, 25)))
+        assert cleanup_edits(text) == plain_edits(text), repr(text)
+    for text in ("x" * 2_000_000, "x@" * 500_000, "a@b.c 123456 " * 100_000, "1" * 2_000_000 + "@"):
+        began = time.perf_counter()
+        cleanup_edits(text)
+        assert time.perf_counter() - began < 5
+
+
+def test_counts_of_long_unbroken_texts(documents):
+    rows = [(1, "x" * 300_000), (2, "a@b.c" * 20_000), (3, " " * 300_000), (4, "é" * 100_000 + "\n")]
+    got = {r.doc_id: r for r in token_counts(documents(rows), VOCABULARY).collect()}
+    assert [got[i].n_chars for i in (1, 2, 3, 4)] == [300_000, 100_000, 300_000, 100_001]
+    assert got[4].n_chars_edited == 100_000 and all(r.n_tokens > 0 for r in got.values())
+
+
 def test_token_frames_empty(documents):
     assert read_tokens(write_tokens(documents([]), VOCABULARY)).count() == 0
 
