@@ -8,14 +8,16 @@ most.  So shared q-grams are counted in diagonal bands of twice e + 1, each
 overlapping the next by half; bands that reach the bound are verified by an
 alignment over their diagonals alone.  Nothing within the edit budget is missed.
 
-The benchmark goes to the executors in slices of SLICE_BYTES at most; a larger one
-means more passes over the documents, not a larger broadcast.  Documents aren't
-shuffled.
+The benchmark goes to the executors in slices of SLICE_BYTES at most (or one item, if
+it is longer); a larger one means more passes over the documents, each written to the
+shared folder before the next, so that one slice at a time is in memory.  Documents
+aren't shuffled.
 
 Null texts and items count as empty; empty items fit nothing; items shorter than Q
 characters must occur as they are.  Repeated rows and items are judged one by one.
 Very long texts are handled in pieces that overlap by more than the longest item.
-An empty table gives an empty result.
+Columns of the documents are kept, whatever their names; one that is named as the
+column of matches is replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import read_table
+from .common import cut, read_table
 from .pretoken import groups
 
 Q = 8
@@ -36,6 +37,8 @@ EDIT_SHARE = 0.1
 SLICE_BYTES = 8 << 20
 PIECE = 1 << 18
 _TABLE_BITS = 22
+#: Of a key, for the band; the item's number has the others: a slice has less than 2 ** 23 items, a piece less than 2 ** 40 diagonals.
+_BAND_BITS = 40
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 Match = tuple[int | None, int, int]  # item id, start in the normalised text, edits
@@ -113,9 +116,13 @@ class BenchmarkIndex:
         item, diagonal = self.owner[run], np.repeat(hits, many) - self.place[run]
         width = self.edits[item] + 1
         band = (diagonal + self.longest) // width
-        # a q-gram of the item counts once in a band, however often the text repeats it
-        once = np.unique(((item << 32) + band) * (self.longest + 1) + self.place[run])
-        key, count = np.unique(once // (self.longest + 1), return_counts=True)
+        # a q-gram of the item counts once in a band, however often the text repeats it; two keys, as one may not hold both
+        key, place = (item << _BAND_BITS) + band, self.place[run]
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+        key, count = np.unique(key[new], return_counts=True)
         # the band that starts at each key covers it and the next one
         follows = np.zeros(len(key), np.int64)
         follows[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
@@ -125,10 +132,10 @@ class BenchmarkIndex:
         starts.append((key[lone] - 1, count[lone]))
         out = []
         for k, c in starts:
-            enough = c >= self.bound[(k + 1) >> 32] if len(k) else np.zeros(0, bool)
+            enough = c >= self.bound[(k + 1) >> _BAND_BITS] if len(k) else np.zeros(0, bool)
             for x, shared in zip(k[enough].tolist(), c[enough].tolist()):
-                i = (x + 1) >> 32
-                out.append((-shared, i, (x - (i << 32)) * int(self.edits[i] + 1) - self.longest))
+                i = (x + 1) >> _BAND_BITS
+                out.append((-shared, i, (x - (i << _BAND_BITS)) * int(self.edits[i] + 1) - self.longest))
         return [(i, low) for _, i, low in sorted(out)]
 
     def _piece(self, text: bytes) -> dict[int, tuple[int, int]]:
@@ -180,12 +187,15 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", matches_col: str = "matches", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs and, after their own columns, the matches: (item_id, start, edits) of each item that occurs."""
     spark = docs.sparkSession
+    docs = docs.drop(matches_col)
     place = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, *spark.createDataFrame([], f"`{matches_col}` {MATCHES}").schema.fields])
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "_matches"]
+    out = docs.toDF(*names[:-1]).withColumn("_matches", F.array().cast(MATCHES))
+    schema = out.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
-    out = docs.withColumn(matches_col, F.array().cast(MATCHES))
-    names = out.columns
-    for items in _slices(benchmark, item_col, item_text_col):
+    for number, items in enumerate( _slices(benchmark, item_col, item_text_col)):
+        if number:
+            out = cut(out, "decontaminated")
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -196,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(new, kind)], names)
 
         out = out.mapInArrow(search, schema)
-    return out
+    return out.toDF(*docs.columns, matches_col)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,34 @@ def test_frame(spark, documents, monkeypatch):
     assert [r.matches for r in D.decontaminate(documents(rows[:2]), none).collect()] == [[], []]
 
 
+def test_matches_column_is_replaced(spark, documents):
+    rows = [(1, "a text with an item in it, as long as it takes"), (2, "nothing")]
+    df = documents(rows).selectExpr("*", "7 AS Matches", "8 AS item_id", "9 AS `a.b`", "10 AS c0")
+    out = D.decontaminate(df, spark.createDataFrame([(5, "an item in it, as long")], "item_id long, text string"))
+    assert out.columns == [*documents([]).columns, "item_id", "a.b", "c0", "matches"]
+    assert sorted((r.doc_id, r.item_id, r["a.b"], r.c0, [m.item_id for m in r.matches]) for r in out.collect()) == [(1, 8, 9, 10, [5]), (2, 8, 9, 10, [])]
+
+
+def test_many_items_and_a_long_one():
+    """Numbers of item, band and place that don't fit in one integer together."""
+    rng = random.Random(6)
+    long = D.normalised(words(rng, 4000))
+    items = [(i, D.normalised(f"short item {i} of many")) for i in range(140_000)] + [(-1, long)]
+    index = D.BenchmarkIndex(items)
+    assert len(long) > 17_000 and {m[0] for m in index.matches(b"some " + long + b" more")} == {-1}
+    assert 131_073 in {m[0] for m in index.matches(b"a short item 131073 of many, and")}
+
+
+def test_slices_are_cut(spark, documents, monkeypatch):
+    """A benchmark of many slices takes a pass each, not one stage with all of them in memory."""
+    rng = random.Random(7)
+    items = [(i, words(rng, 25)) for i in range(4)]
+    monkeypatch.setattr(D, "SLICE_BYTES", 10)
+    out = D.decontaminate(documents([(i, t) for i, t in items]), spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: [m.item_id for m in r.matches] for r in out.collect()} == {i: [i] for i in range(4)}
+
+
 def test_long_text_in_pieces(monkeypatch):
     rng = random.Random(4)
     item = D.normalised(words(rng, 30))
