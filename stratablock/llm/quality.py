@@ -6,15 +6,18 @@ max-pooled in each chunk.  A second channel compares the chunk with itself at la
 1 to LAGS, which sees repetition whatever the words.  Means and maxima over all
 chunks go through a small dense layer into one probability.
 
-Training takes TRAIN_ROWS labelled rows at most, chosen by the hash of their id,
-and TRAIN_CHUNKS chunks of each, evenly spaced over the whole text; both bounds are
-parameters.  Scoring reads all bytes of all texts.  Weights are a closure of about
-70 KB.  Training is seeded: the same table gives the same scores.
+Training takes TRAIN_ROWS labelled rows at most, chosen by the hash of their id, and of
+these, in that order, all whose whole texts fit in TRAIN_BYTES together (a text that
+doesn't fit in what is left is passed over); both bounds are parameters.  A row that is
+taken is learned from as a whole.  Scoring reads all bytes of all texts.  Weights are a
+closure of about 70 KB.  Training is seeded: the same table gives the same scores.
 
 A null text counts as empty; an empty text is one chunk of padding and gets a score
 like any other.  Without labels of both kinds, all scores are the share of label 1
-(or 0.5).  Rows that repeat an id are scored one by one, and an id with several
-labels counts with its smallest.  An empty table gives an empty result.
+(or 0.5).  Rows that repeat an id are scored one by one; an id with several labels
+counts with its smallest, one with several texts with that of the least hash.  A column
+of the documents that is named as the score's is replaced; others are kept, whatever
+their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,26 +30,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import read_table, text_of
+from .common import cut, read_table, text_of
 from .pretoken import groups
 
 CHUNK, WIDTH, FILTERS, LAGS, HIDDEN = 256, 5, 12, 40, 16
 PAD = 256
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 5000, 24, 8
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 5000, 64 << 20, 8
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 _BLOCK = 512
 
 
-def chunks_of(text: bytes, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK + WIDTH - 1) byte codes, PAD after the end; ``most`` chunks evenly spaced, if given."""
+def chunks_of(text: bytes) -> np.ndarray:
+    """(chunks, CHUNK + WIDTH - 1) byte codes, PAD after the end."""
     n = max(1, -(-max(1, len(text) - WIDTH + 1) // CHUNK))
     flat = np.full(n * CHUNK + WIDTH - 1, PAD, np.int16)
     flat[: len(text)] = np.frombuffer(text, np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(flat, CHUNK + WIDTH - 1)[::CHUNK]
-    if most is not None and n > most:
-        windows = windows[np.linspace(0, n - 1, most).round().astype(int)]
-    return windows
+    return np.lib.stride_tricks.sliding_window_view(flat, CHUNK + WIDTH - 1)[::CHUNK]
 
 
 def repetition(x: np.ndarray) -> np.ndarray:
@@ -152,35 +152,39 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> Network:
-    """Learns from labelled rows outside the held-out fold; gathers ``rows`` x TRAIN_CHUNKS chunks at most."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS, most_bytes: int = TRAIN_BYTES) -> Network:
+    """Learns from labelled rows outside the held-out fold; gathers ``rows`` ids and ``most_bytes`` bytes of text at most."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & (fold(F.col("_id")) != HELD_OUT))
     chosen = marked.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
-    def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, 2):
-            picked = [np.ascontiguousarray(chunks_of(t.encode("utf-8", "surrogatepass"), TRAIN_CHUNKS)).tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(picked, pa.binary())], ["_id", "_y", "_chunks"])
-
     # chosen has ``rows`` rows at most: a bound that doesn't grow with the data
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.col("_id").cast("long").alias("_id"), "_y", "_text")
-    found = texts.mapInArrow(sample, "_id long, _y int, _chunks binary").dropDuplicates(["_id"]).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    one = texts.groupBy("_id").agg(F.min("_y").alias("_y"), F.min(F.struct(F.xxhash64("_text").alias("h"), F.encode("_text", "UTF-8").alias("t"))).alias("_of"))
+    taken = cut(one.select(F.xxhash64("_id").alias("_order"), F.col("_id").cast("long").alias("_id"), "_y", F.col("_of.t").alias("_text")), "training-rows")
+    left, places = most_bytes, []
+    for r in taken.select("_order", "_id", F.octet_length("_text").alias("n")).orderBy("_order", "_id").collect():
+        if r.n <= left:
+            left -= r.n
+            places.append(r["_id"])
+    found = taken.filter(F.col("_id").isin(places)).collect() if places else []
     found.sort(key=lambda r: r["_id"])
-    return Network().fit([np.frombuffer(r["_chunks"], np.int16).reshape(-1, CHUNK + WIDTH - 1) for r in found], np.array([r["_y"] for r in found], np.float32), epochs)
+    return Network().fit([chunks_of(bytes(r["_text"])) for r in found], np.array([r["_y"] for r in found], np.float32), epochs)
 
 
 def scored(docs: DataFrame, model: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score column after their own."""
-    names = docs.columns
-    place = names.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
+    docs = docs.drop(score_col)
+    place = docs.columns.index(text_col)
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "_score"]
+    plain = docs.toDF(*names[:-1])
+    schema = StructType([*plain.schema.fields, StructField("_score", DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, place):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts))], [*names, score_col])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts))], names)
 
-    return docs.mapInArrow(score, schema)
+    return plain.mapInArrow(score, schema).toDF(*docs.columns, score_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> DataFrame:
