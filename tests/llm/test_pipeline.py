@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+from stratablock.llm.common import made_so_far
 from stratablock.llm.quality import train
 from tests.llm.test_line_dedup import plain
 from tests.llm.test_simhash import plain_components, plain_shingles
@@ -91,7 +93,19 @@ def test_stages(spark, tables):
 
 
 def test_run(spark, tables):
+    before = made_so_far(spark)
     assert P.run(spark, tables).filter("round_trip").count() > 150
+    assert len(made_so_far(spark) - before) == 1  # the last stage's table; all others are gone
+
+
+def test_stages_with_columns_of_clashing_names(spark, tables):
+    clash = {c: F.lit(3) for c in ("score", "matches", "_id", "_text_hash", "_text", "_spans", "c0", "_class", "fp", "n_tokens")}
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(60).withColumns(clash)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, tables)
+        assert out.count() <= 60
+        if name != "encoding":
+            assert out.columns == list(P.COLUMNS)
 
 
 def test_run_on_empty_tables(spark, tables, tmp_path):
