@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import cut, read_table
+from stratablock.llm.common import cut, made_so_far, read_table, release
 from stratablock.llm.decontaminate import decontaminate
 from stratablock.llm.line_dedup import line_dedup
 from stratablock.llm.quality import THRESHOLD, scored, train
@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go out of the texts; every document stays."""
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     alone = found.filter("_class is null").select("_id", "_text_hash")
     first = found.filter("_class is not null").groupBy("_class").agg(F.min(F.when(F.col("_id") == F.col("_class"), F.col("_text_hash"))).alias("_text_hash"))
     stays = first.select(F.col("_class").alias("_id"), "_text_hash").unionByName(alone).distinct()
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    docs, text_hash = docs.select(*COLUMNS), F.xxhash64(F.coalesce("text", F.lit("")))
     kept = docs.join(cut(stays, "stays").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash == F.col("_text_hash")), "left_semi")
     return kept.select(*COLUMNS)
 
@@ -70,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage has cut, and its input, is deleted once its output is written."""
+    docs, others = read_table(spark, sf_dir, "documents"), made_so_far(spark)
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        within = made_so_far(spark)
+        docs = cut(made, f"stage-{name}")
+        release(spark, others | (made_so_far(spark) - within))
     return docs
