@@ -2,11 +2,14 @@
 
 A rule is a regular expression over host + path.  Rules are indexed by the
 rarest of their literal tokens, as counted over the URLs themselves; each URL's
-tokens fetch candidate rules from a hash-bucketed literal, and only candidates
-run their expression.  Everything happens within the row: no shuffle.
+tokens fetch candidate rules, and only candidates run their expression.
 
-The index is part of the plan, so its size is checked (MAX_RULES).  The one
-collected result has a row per token of the rules, not per URL.
+Up to LITERAL_RULES rules, the index is a hash-bucketed literal in the plan: all
+happens within the row, without a shuffle.  The counts that it needs are gathered, a
+row per token of the rules.  More rules are a table beside the URLs: distinct hosts
+with paths are split into tokens and joined with it on the token, what fits is
+reduced to one rule each, and that is joined back.  Nothing of it is gathered or
+broadcast, so there may be any number of rules; both ways give the same.
 
 Null urls, and urls without "://", have empty host and path and fit no rule.
 Very long urls, repeated rows, ties (same rule length: the first by name) and
@@ -15,15 +18,18 @@ empty tables are ordinary cases.  Columns besides the named ones are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table, text_of
+from .common import ascii_lower, cut, read_table, shared_path, text_of
 
-MAX_RULES = 20_000
+LITERAL_RULES = 2_000
+#: Of the rules' tokens, to count them by a broadcast join; more take a shuffle.
+BROADCAST_CHARS = 4_000_000
 BLOCK, ALLOW = "block", "allow"
 _SPLIT = "[^a-z0-9]+"
 
@@ -84,14 +90,30 @@ def _tokens(key: Column) -> Column:
     return F.array_distinct(F.split(ascii_lower(key), _SPLIT))
 
 
-def rule_token_counts(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> dict[str, int]:
-    """In how many URLs each token of the rules occurs; one row per such token."""
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows as a table, by way of a file in the shared folder: literals of a plan would be printed and compared with it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    path = shared_path(spark, "rules") + ".json"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    try:
+        for i in range(0, len(rows), 10_000):
+            out.write("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows[i : i + 10_000]).encode())
+    finally:
+        out.close()
+    return spark.read.schema(schema).json(path)
+
+
+def rule_token_counts(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> DataFrame:
+    """(token, n): in how many URLs each token of the rules occurs; none for those that don't."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return {}
     key = F.concat(host_of(F.col(url_col)), path_of(F.col(url_col)))
-    found = F.array_intersect(_tokens(key), F.array(*map(F.lit, wanted)))
-    return {r.token: r.n for r in pages.select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = pages.select(F.explode(_tokens(key)).alias("token"))
+    table = _table(pages.sparkSession, [(t,) for t in wanted], "token string")
+    if sum(map(len, wanted)) <= BROADCAST_CHARS:
+        return found.join(F.broadcast(table), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(table.hint("merge"), "token")
 
 
 def build_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> tuple[list[list[tuple]], list[tuple]]:
@@ -122,30 +144,58 @@ def _bucket_col(token: Column, n: int) -> Column:
     return (h + 7 * F.length(token)) % n
 
 
-def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PRODUCTION_RULES, url_col: str = "url", default: str = ALLOW) -> DataFrame:
-    """All columns of pages, and host, path, rule, verdict (these replace columns so named).
+_ENTRIES = "array<struct<token:string,pattern:string,weight:int,name:string,action:string>>"
 
-    Of the named rules that fit, the longest decides; without one, the longest
-    unnamed; without any, ``default``.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES} at most")
-    buckets, rest = build_index(rules, rule_token_counts(pages, rules, url_col))
-    kind = "array<struct<token:string,pattern:string,weight:int,name:string,action:string>>"
 
-    def entries(items: list[tuple]) -> Column:
-        made = [F.struct(F.lit(t).alias("token"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action")) for t, r in items]
-        return F.array(*made).cast(kind)
+def _literal(items: list[tuple[str, Rule]]) -> str:
+    return json.dumps([{"token": t, "pattern": r.pattern, "weight": r.weight, "name": r.name, "action": r.action} for t, r in items])
+
 
-    index = F.array(*map(entries, buckets))
+def _first(e: Column) -> Column:
+    """What the rule that decides has least of: named first, then the longest, then the first by name and action."""
+    return F.struct(e["name"].isNull().alias("unnamed"), (-e["weight"]).alias("weight"), e["name"].alias("name"), e["action"].alias("action"))
+
+
+def _within_the_row(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> DataFrame:
+    counts = {r.token: r.n for r in rule_token_counts(pages, rules, url_col).collect()}
+    buckets, rest = build_index(rules, counts)
+    index = F.from_json(F.lit(f"[{','.join(map(_literal, buckets))}]"), f"array<{_ENTRIES}>")
     key = F.concat(F.col("host"), F.col("path"))
     fetched = F.flatten(F.transform(_tokens(key), lambda t: F.filter(F.element_at(index, (_bucket_col(t, len(buckets)) + 1).cast("int")), lambda e: e["token"] == t)))
-    fits = F.filter(F.concat(fetched, entries(rest)), lambda e: F.rlike(key, e["pattern"]))
-    # the greatest in this order: named first, then the longest, then the first by name
-    best = F.array_sort(fits, lambda a, b: F.when(a["name"].isNotNull() & b["name"].isNull(), -1).when(a["name"].isNull() & b["name"].isNotNull(), 1).when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    url = F.col(url_col)
-    judged = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("_best", F.get(best, F.lit(0)))
-    return judged.withColumns({"rule": F.col("_best")["name"], "verdict": F.coalesce(F.col("_best")["action"], F.lit(default))}).drop("_best")
+    fits = F.filter(F.concat(fetched, F.from_json(F.lit(_literal(rest)), _ENTRIES)), lambda e: F.rlike(key, e["pattern"]))
+    return pages.withColumn("_best", F.array_min(F.transform(fits, _first)))
+
+
+def _by_joins(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> DataFrame:
+    spark, key = pages.sparkSession, F.concat(F.col("host"), F.col("path"))
+    numbered = _table(spark, [(i, r.pattern, r.weight, r.name, r.action) for i, r in enumerate(rules)], "rule int, pattern string, weight int, name string, action string")
+    theirs = _table(spark, [(i, t, k) for i, r in enumerate(rules) for k, t in enumerate(r.tokens)], "rule int, token string, place int")
+    counted = theirs.join(rule_token_counts(pages, rules, url_col).hint("merge"), "token", "left")
+    rarest = counted.groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token")).alias("r")).select("rule", "r.token")
+    table = cut(numbered.join(rarest, "rule", "left"), "rules")
+    keys = cut(pages.select(key.alias("key")).distinct(), "url-keys")
+    fetched = keys.select("key", F.explode(_tokens(F.col("key"))).alias("token")).join(table.hint("merge"), "token").filter(F.expr("rlike(key, pattern)"))
+    found = fetched.select("key", _first(F.struct("name", "weight", "action")).alias("_best"))
+    rest = F.from_json(F.lit(_literal([("", r) for r in rules if not r.tokens])), _ENTRIES)
+    tried = F.transform(F.filter(rest, lambda e: F.rlike(F.col("key"), e["pattern"])), _first)
+    found = found.unionByName(keys.select("key", F.explode(tried).alias("_best")))
+    best = cut(found.groupBy("key").agg(F.min("_best").alias("_best")), "url-rules")
+    return pages.withColumn("_key", key).join(best.select(F.col("key").alias("_key"), "_best").hint("merge"), "_key", "left").drop("_key")
+
+
+def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PRODUCTION_RULES, url_col: str = "url", default: str = ALLOW, literal_rules: int = LITERAL_RULES) -> DataFrame:
+    """All columns of pages, and host, path, rule, verdict (these replace columns so named).
+
+    Of the named rules that fit, the longest decides; without one, the longest
+    unnamed; without any, ``default``.
+    """
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    inner = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    url = f"c{names.index(url_col)}"
+    inner = inner.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    judged = (_within_the_row if len(rules) <= literal_rules else _by_joins)(inner, rules, url)
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    return judged.select(*back, "host", "path", F.col("_best")["name"].alias("rule"), F.coalesce(F.col("_best")["action"], F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
 from stratablock.llm.url_filter import ALLOW, BLOCK, BLOCKED_LABELS, HOST_RULES, PRODUCTION_RULES, Rule, build_index, host_rule, url_filter
 
 
@@ -28,18 +30,22 @@ def urls():
     return [*made, None, "", "example.com/en/7", "://", "http://", "http://a://b/en/7", "http://x.com/en/" + "z" * 100_000, "http://x.org/es/\nq", made[0], made[0]]
 
 
-def test_verdicts(spark):
+@pytest.mark.parametrize("literal", [2000, 0], ids=["within the row", "by joins"])
+def test_verdicts(spark, literal):
     rows = [(i if i % 9 else None, u, "x", 1) for i, u in enumerate(urls())]
-    out = url_filter(spark.createDataFrame(rows, "page_id long, url string, rule string, token int").repartition(3))
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, token int")
+    out = url_filter(df.withColumns({x: F.lit(7) for x in ("key", "_best", "_key", "name", "c0", "n", "Host")}).repartition(3), literal_rules=literal)
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect()), key=str)
     assert got == sorted(((i, *plain(u)) for i, u, _, _ in rows), key=str)
-    assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert [c for c in out.columns if c.lower() in ("host", "rule")] == ["host", "rule"]
+    assert url_filter(spark.createDataFrame([], "page_id long, url string"), literal_rules=literal).count() == 0
 
 
-def test_rules_without_tokens_and_ties(spark):
+@pytest.mark.parametrize("literal", [2000, 0], ids=["within the row", "by joins"])
+def test_rules_without_tokens_and_ties(spark, literal):
     rules = (Rule(BLOCK, "q+$", (), None, 1), host_rule(ALLOW, "a.b/"), Rule(BLOCK, r"^a\.b/", ("a", "b"), "a.b_", 4), Rule(BLOCK, r"/z/", ("z",), None, 9))
     df = spark.createDataFrame([(1, "x://a.b/qq"), (2, "x://c/qq"), (3, "x://c/z/"), (4, "x://c/")], "page_id long, url string")
-    got = {r.page_id: (r.rule, r.verdict) for r in url_filter(df, rules).collect()}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter(df, rules, literal_rules=literal).collect()}
     assert got == {1: ("a.b/", ALLOW), 2: (None, BLOCK), 3: (None, BLOCK), 4: (None, ALLOW)}
 
 
@@ -48,3 +54,14 @@ def test_index_takes_the_rarest_whole_token():
     where = {r.name or r.pattern: t for b in buckets for t, r in b}
     assert not rest and where["example.com/en/7"] == "com" and where["com/en/"] == "com"
     assert "7" not in host_rule(ALLOW, "example.com/en/7").tokens and len(HOST_RULES) == 5
+
+
+def test_many_rules(spark):
+    """As many rules as no plan should hold, of which each URL fits one at most."""
+    rules = tuple(host_rule(BLOCK, f"h{i}.example.com/en/") for i in range(25_000))
+    df = spark.createDataFrame([(i, f"http://x.h{i}.example.com/en/{i}") for i in range(24_900, 25_100)], "page_id long, url string")
+    out = url_filter(df, rules)
+    got = {r.page_id: r.rule for r in out.collect()}
+    assert got == {i: f"h{i}.example.com/en/" if i < 25_000 else None for i in range(24_900, 25_100)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
