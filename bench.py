@@ -61,11 +61,15 @@ def main() -> None:
         times["write_lzf"] = spent(lambda: sb.write(lineitem, f"{folder}/lzf"), 1)
         times["write_stored"] = spent(lambda: sb.write(lineitem, f"{folder}/stored", compression="none"), 1)
         sb.write(lineitem, f"{folder}/one", single_file=True, compression="none")
-        one, many = f"{folder}/one", f"{folder}/lzf"
+        one, many, wide = f"{folder}/one", f"{folder}/lzf", f"{folder}/wide"
+        times["write_wide"] = spent(lambda: sb.write(spark.read.parquet(f"{SF_DIR}/documents.parquet"), wide), 1)
         last = rows - 1000
         times |= {
             "scan_full": spent(lambda: force(sb.scan(spark, one))),
             "scan_full_lzf": spent(lambda: force(sb.scan(spark, many))),
+            "scan_lzf_one_column": spent(lambda: force(sb.scan(spark, many, ["l_quantity"]))),
+            "scan_wide": spent(lambda: force(sb.scan(spark, wide))),
+            "scan_wide_one_column": spent(lambda: force(sb.scan(spark, wide, ["n_chars"]))),
             "scan_one_column": spent(lambda: force(sb.scan(spark, one, ["l_quantity"]))),
             "head_1000": spent(lambda: sb.scan(spark, one, limit=1000).collect()),
             "offset_last_1000": spent(lambda: sb.scan(spark, one, offset=last, limit=1000).collect()),

@@ -26,7 +26,9 @@ def test_without_the_optional_parts(tmp_path, pipeline):
     assert (place / "corpus_pipeline.py").exists() == (pipeline and (ROOT / "corpus_pipeline.py").exists())
     run(place, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and 'pipeline' not in q and not any(x.startswith('op') for x in q)")
     if pipeline:
-        run(place, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--ignore=tests/test_entry.py", "--ignore=tests/test_queries.py")
+        # all test files import; those that take no long Spark jobs run
+        run(place, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--collect-only")
+        run(place, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_format.py", "tests/test_schema_tools.py", "tests/test_convert.py")
         if HAVE_TABLES:
             run(place, "-c", "import __spark_entry__ as e; from pyspark.sql import SparkSession; assert e.entry(SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()).count() == 3")
 
