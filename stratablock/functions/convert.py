@@ -168,6 +168,15 @@ def blob_to_string(c: Column, spatial: bool = False) -> Column:
     return F.when(c.isNotNull(), F.lit("SpatialObject")) if spatial else F.concat(F.octet_length(c).cast("string"), F.lit(" Bytes"))
 
 
+def text_to_blob(c: Column, field: Field) -> Column:
+    """The bytes that a file holds for the text: all of a fixed field's, zeros after the text, or just those of a variable one."""
+    wide = field.type in ("WString", "V_WString")
+    raw = F.encode(c, "UTF-16LE" if wide else "UTF-8")
+    if field.type in ("V_String", "V_WString"):
+        return raw
+    return F.rpad(raw, field.size * (2 if wide else 1), F.lit(b"\0"))
+
+
 def wide_to_narrow(c: Column) -> Column:
     """Latin-1; what it lacks becomes a question mark."""
     return F.decode(F.encode(F.regexp_replace(c, r"[^\x{00}-\x{FF}]", "?"), "ISO-8859-1"), "ISO-8859-1")

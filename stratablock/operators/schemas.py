@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.sql import DataFrame
+
 from ..functions.names import unique_names
 from ..sources.fields import BINARY, NARROW, WIDE, Field, check_record
 
@@ -85,6 +87,12 @@ def rename_fields(fields: list[Field], names: dict[str, str]) -> list[Field]:
     return [renamed(f, n) for f, n in zip(fields, unique_names(wanted))]
 
 
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """As rename_fields, for a table's columns: all at once, without regard to case, and made unique."""
+    lower = {k.casefold(): v for k, v in names.items()}
+    return df.toDF(*unique_names([lower.get(c.casefold(), c) for c in df.columns]))
+
+
 def source_of(field: Field) -> tuple[str, str]:
     """(scope, value) of a field's source."""
     scope, _, value = field.source.partition(":")

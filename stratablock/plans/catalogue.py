@@ -317,6 +317,14 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
         conversion("documents", ["doc_id"], lambda d: d.withColumn("v", F.encode("text", "UTF-8")), Field("v", "Blob"), TEXT, "s"),
         "SELECT doc_id, concat(octet_length(encode(text)), ' Bytes') AS s FROM documents",
     ),
+    "conv_text_to_blob": (
+        lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", F.hex(C.text_to_blob(F.col("c_name"), Field("v", "String", 30))).alias("fixed"), F.hex(C.text_to_blob(F.col("c_name"), Field("v", "V_String", 30))).alias("exact")),
+        "SELECT c_custkey, rpad(hex(encode(c_name)), 60, '0') AS fixed, hex(encode(c_name)) AS exact FROM customer",
+    ),
+    "rename_columns": (
+        lambda spark, sf_dir: schemas.rename_columns(table(spark, sf_dir, "nation"), {"N_NAME": "n_nationkey", "n_nationkey": "n_name"}),
+        "SELECT n_nationkey AS n_name, n_name AS n_nationkey, n_regionkey FROM nation",
+    ),
     "string_truncate": (
         conversion("customer", ["c_custkey"], lambda d: d.withColumn("v", F.col("c_name")), TEXT, Field("v", "V_WString", 8), "s"),
         "SELECT c_custkey, substr(c_name, 1, 8) AS s FROM customer",
