@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from .fields import VARIABLE, Field, check_record, from_xml, to_xml
-from .lzf import pack, unpack_chunk
+from .lzf import CHUNK, pack, unpack_chunk
 from .records import decode_rows, encode_block
 
 # Fixed values of the format.
@@ -27,6 +27,8 @@ DESCRIPTION = "Row block file"
 MAX_BLOCKS = 1 << 28
 #: Records are decoded in runs of about so many bytes, so that memory follows neither a block's rows nor their length.
 SLICE_BYTES = 8 << 20
+#: Rows are encoded as soon as they take about so many bytes of Arrow's; of a block, only what fills no chunk yet is held.
+ENCODE_BYTES = 2 << 20
 #: Headers read at the same time.
 READERS = 32
 #: A finished file is held in memory up to this size, on its way to a store without in-place updates.
@@ -213,25 +215,49 @@ class FileWriter:
         self.at = HEADER_SIZE + len(text)
         out.write(bytes(HEADER_SIZE) + text)
         self.held: list[pa.RecordBatch] = []
-        self.count = 0
+        self.size = 0  # of what is held, in bytes
+        self.count = 0  # records of the block, encoded or held
+        self.rest = b""  # encoded, but less than a chunk
 
     def add(self, batch: pa.RecordBatch) -> None:
         while batch.num_rows:
+            if not self.count:
+                self.places.append(self.at)
             part = batch.slice(0, BLOCK_RECORDS - self.count)
+            while part.num_rows > 1 and part.nbytes > ENCODE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
             self.held.append(part)
+            self.size += part.nbytes
             self.count += part.num_rows
             batch = batch.slice(part.num_rows)
             if self.count == BLOCK_RECORDS:
                 self._flush()
+            elif self.size >= ENCODE_BYTES:
+                self._encode()
+
+    def _encode(self) -> None:
+        """Writes all whole chunks; chunks don't end with runs of rows, so that the file is the same whatever the runs."""
+        if not self.held:
+            return
+        raw = self.rest + encode_block(pa.Table.from_batches(self.held), self.fields)
+        self.held, self.size = [], 0
+        whole = len(raw) // CHUNK * CHUNK
+        self.rest = raw[whole:]
+        for i in range(0, whole, CHUNK):
+            self._put(raw[i : i + CHUNK])
+
+    def _put(self, raw: bytes) -> None:
+        packed = pack(raw, self.compress)
+        self.out.write(packed)
+        self.at += len(packed)
 
     def _flush(self) -> None:
-        if self.count:
-            raw = pack(encode_block(pa.Table.from_batches(self.held), self.fields), self.compress)
-            self.places.append(self.at)
-            self.out.write(raw)
-            self.at += len(raw)
-            self.records += self.count
-            self.held, self.count = [], 0
+        """Ends the block."""
+        self._encode()
+        self._put(self.rest)
+        self.rest = b""
+        self.records += self.count
+        self.count = 0
 
     def finish(self) -> bytes:
         """Writes the rest and the index; returns the header, which goes to the file's start."""

@@ -202,6 +202,31 @@ def test_wide_rows_take_linear_time_and_bounded_memory(tmp_path):
     tracemalloc.stop()
 
 
+def test_blocks_of_long_texts_are_written_in_bounded_memory(tmp_path, monkeypatch):
+    import tracemalloc
+
+    fields = [Field("id", "Int32"), Field("s", "V_WString", 50_000), Field("b", "Blob")]
+
+    def batches():
+        for k in range(0, 3000, 500):
+            texts = [f"{i} " + "xé" * 5000 for i in range(k, k + 500)]
+            yield pa.record_batch({"id": pa.array(range(k, k + 500), pa.int32()), "s": pa.array(texts), "b": pa.array([t[:2000].encode() for t in texts])})
+
+    files.write_file(str(tmp_path / "a.rb"), fields, iter([]), compress=False)
+    held = list(batches())
+    tracemalloc.start()
+    files.write_file(str(tmp_path / "a.rb"), fields, iter(held), compress=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # of 75 MB of records, one block
+    assert read(tmp_path / "a.rb").equals(pa.Table.from_batches(held))
+    monkeypatch.setattr(files.time, "time", lambda: 1)
+    for name, size in (("b.rb", 1 << 30), ("c.rb", 1000)):
+        monkeypatch.setattr(files, "ENCODE_BYTES", size)
+        files.write_file(str(tmp_path / name), fields, iter(held[:2]), compress=False)
+    assert (tmp_path / "b.rb").read_bytes() == (tmp_path / "c.rb").read_bytes()
+
+
 def test_headers_of_many_files(tmp_path):
     for k in range(70):
         write(tmp_path / f"{k:03d}.rb", [Field("id", "Int32")], pa.table({"id": pa.array(range(k), pa.int32())}))
