@@ -227,6 +227,19 @@ def test_blocks_of_long_texts_are_written_in_bounded_memory(tmp_path, monkeypatc
     assert (tmp_path / "b.rb").read_bytes() == (tmp_path / "c.rb").read_bytes()
 
 
+def test_blocks_of_long_blobs_are_written_in_bounded_memory(tmp_path):
+    """Blobs beside a key, rows of very unequal length: what is encoded at once follows their bytes, not their number."""
+    import tracemalloc
+
+    held = [pa.record_batch({"id": pa.array(range(k, k + 500)), "v": pa.array([b"v" * (40_000 if i % 2 else 10) for i in range(500)], pa.binary())}) for k in range(0, 3000, 500)]
+    tracemalloc.start()
+    files.write_file(str(tmp_path / "a.rb"), [Field("id", "Int64"), Field("v", "Blob")], iter(held), compress=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # of 60 MB
+    assert read(tmp_path / "a.rb").equals(pa.Table.from_batches(held))
+
+
 def test_headers_of_many_files(tmp_path):
     for k in range(70):
         write(tmp_path / f"{k:03d}.rb", [Field("id", "Int32")], pa.table({"id": pa.array(range(k), pa.int32())}))
