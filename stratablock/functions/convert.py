@@ -90,6 +90,11 @@ def double_to_fixed(size: int, scale: int):
     return fixed
 
 
+def fixed_to_text(c: Column, size: int, scale: int) -> Column:
+    """A decimal column keeps all of its digits; any other number goes by its double."""
+    return F.when(F.typeof(c).startswith("decimal"), string_to_fixed(c.cast("string"), size, scale)).otherwise(double_to_fixed(size, scale)(c.cast("double")))
+
+
 def string_to_fixed(c: Column, size: int, scale: int) -> Column:
     """A plain decimal of any length; further digits round half up on the first of them; what is too long becomes null.
 
@@ -203,7 +208,7 @@ def convert(c: Column, source: Field, target: Field, separator: str = ".") -> Co
         elif s in ("Float", "Double"):
             out = double_to_string(c.cast("double"))
         elif s == "FixedDecimal":
-            out = double_to_fixed(source.size, source.scale)(c.cast("double"))
+            out = fixed_to_text(c, source.size, source.scale)
         elif s == "DateTime":
             out = datetime_to_string(c)
         else:

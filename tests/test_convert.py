@@ -90,3 +90,10 @@ def test_exact_decimal_round_trip():
     from stratablock.sources.records import decimal_text
 
     assert decimal_text(Decimal("2.675"), 10, 2) == "2.68" and decimal_text(2.675, 10, 2) == "2.67" and decimal_text("abc", 10, 2) is None
+
+
+def test_exact_decimals_keep_their_digits_as_text(spark):
+    df = spark.sql("SELECT CAST(v AS decimal(20,2)) AS v FROM VALUES ('123456789012345678.91'), ('-0.10'), ('0.00'), (NULL) t(v)")
+    got = df.select(C.convert(F.col("v"), Field("v", "FixedDecimal", 22, 2), TEXT, ",").alias("s"))
+    assert [r.s for r in got.collect()] == ["123456789012345678,91", "-0,10", "0,00", None]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

@@ -47,3 +47,14 @@ def test_schema_listing_writes_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "stored", counted)
     assert catalogue.schema_listing(spark, SMALL).count() > 0
     assert written == [catalogue.table(spark, SMALL, "orders").count()]
+
+
+def test_comma_decimal_on_odd_values(spark, duck, tmp_path):
+    """Zeros with a sign, halves of a cent and many digits, as SQL's cast takes them."""
+    values = [-0.0, -0.001, 0.0, 0.005, 0.125, -0.125, 1.005, 2.675, -2.675, 8.345, 0.29, 123456789012345.67, -999999999999.995, None]
+    rows = ", ".join(f"({k}, {'NULL' if v is None else repr(v)}::DOUBLE)" for k, v in enumerate(values))
+    duck.sql(f"COPY (SELECT k::BIGINT AS c_custkey, v AS c_acctbal FROM (VALUES {rows}) t(k, v)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    duck.sql(f"CREATE VIEW odd_customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    got = catalogue.queries()["comma_decimal"](spark, str(tmp_path)).collect()
+    want = duck.sql(catalogue.oracle_sql()["comma_decimal"].replace("FROM customer", "FROM odd_customer")).fetchall()
+    assert canon(map(tuple, got)) == canon(want) and len(want) == len(values)
