@@ -30,8 +30,13 @@ def num_records(path: str) -> int:
     return sum(i.records for i in load_infos(path))
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, offset: int = 0, limit: int | None = None, row_index: str | None = None, exact_decimals: bool = False, blocks_per_partition: int | None = None) -> DataFrame:
-    """A lazy table of which only the wanted columns are decoded and only the blocks within offset and limit are read."""
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, offset: int = 0, limit: int | None = None, row_index: str | None = None, exact_decimals: bool = False, blocks_per_partition: int | None = None, row_index_of: str = "file") -> DataFrame:
+    """A lazy table of which only the wanted columns are decoded and only the blocks within offset and limit are read.
+
+    row_index: a column with the record's number in its file, or, with row_index_of ``table``, in all files in a row.
+    """
+    if row_index_of not in ("file", "table"):
+        raise ValueError(f"row_index_of is file or table, not {row_index_of!r}")
     register(spark)
     reader = spark.read.format(NAME)
     if columns:
@@ -41,7 +46,7 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, offse
     if limit is not None and limit >= 0:
         reader = reader.option("limit", limit)
     if row_index:
-        reader = reader.option("rowIndex", row_index)
+        reader = reader.option("rowIndex", row_index).option("rowIndexOf", row_index_of)
     if exact_decimals:
         reader = reader.option("decimals", "exact")
     if blocks_per_partition:

@@ -5,7 +5,8 @@ Reading: one partition for each ``blocksPerPartition`` blocks.  Options:
 * path: a file, a folder or a glob; files of a folder must agree in their field types
 * columns: comma-separated names (or a JSON list): only these are decoded, in this order
 * offset, limit: of the records of all files in a row; blocks outside aren't read
-* rowIndex: name of an added column with the record's number in its file
+* rowIndex: name of an added column with the record's number in its file, or, with rowIndexOf
+  ``table``, in all files in a row
 * decimals: ``exact`` for decimal columns, else FixedDecimal becomes double
 * batchSize, blocksPerPartition
 
@@ -118,8 +119,9 @@ class RowBlockReader(DataSourceReader):
             return
         o = {k.lower(): v for k, v in self.options.items()}
         schema = to_arrow_schema(self.schema)
+        before = partition.piece.before if o.get("rowindexof", "file").lower() == "table" else 0
         wanted = projected(partition.piece.fields, wanted_columns(o.get("columns")))
-        yield from read_piece(partition.piece, wanted, schema, "rowindex" in o, int(o.get("batchsize", 16_384)))
+        yield from read_piece(partition.piece, wanted, schema, "rowindex" in o, int(o.get("batchsize", 16_384)), before)
 
 
 class RowBlockWriter(DataSourceArrowWriter):

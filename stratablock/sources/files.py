@@ -116,7 +116,7 @@ def read_infos(paths: list[str]) -> list[FileInfo]:
 
 @dataclass(frozen=True)
 class Piece:
-    """Records of consecutive blocks of a file: of those from ``place`` on, the first of which is number ``at``, skip some, then take."""
+    """Records of consecutive blocks of a file: of those from ``place`` on, the first of which is number ``at``, skip some, then take.  The files before it have ``before`` records."""
 
     path: str
     fields: tuple[Field, ...]
@@ -125,6 +125,7 @@ class Piece:
     at: int
     skip: int
     take: int
+    before: int = 0
 
     @property
     def first_record(self) -> int:
@@ -135,7 +136,7 @@ def plan(infos: list[FileInfo], offset: int = 0, limit: int | None = None, block
     """Pieces that hold records offset .. offset + limit of all files in a row; blocks outside aren't touched."""
     pieces = []
     left = sum(i.records for i in infos) if limit is None or limit < 0 else limit
-    skip = max(0, offset)
+    skip, before = max(0, offset), 0
     for info in infos:
         begin = min(skip, info.records)
         skip -= begin
@@ -146,13 +147,14 @@ def plan(infos: list[FileInfo], offset: int = 0, limit: int | None = None, block
             block = begin // BLOCK_RECORDS if info.indexed else 0
             stop = min(end, (block // blocks_each + 1) * step) if info.indexed else end
             at = block * BLOCK_RECORDS
-            pieces.append(Piece(info.path, info.fields, info.compressed, info.blocks[block], at, begin - at, stop - begin))
+            pieces.append(Piece(info.path, info.fields, info.compressed, info.blocks[block], at, begin - at, stop - begin, before))
             begin = stop
+        before += info.records
     return pieces
 
 
-def read_piece(piece: Piece, wanted: list[int], schema: pa.Schema, row_index: bool = False, batch: int = 16_384) -> Iterator[pa.RecordBatch]:
-    """Batches of the piece; schema is that of the wanted fields, and of the row index after them."""
+def read_piece(piece: Piece, wanted: list[int], schema: pa.Schema, row_index: bool = False, batch: int = 16_384, before: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of the piece; schema is that of the wanted fields, and of the row index after them, to which ``before`` is added."""
     inner = pa.schema(list(schema)[:-1]) if row_index else schema
     fs, place = file_system(piece.path)
     at, skip, take = piece.at, piece.skip, piece.take
@@ -165,7 +167,7 @@ def read_piece(piece: Piece, wanted: list[int], schema: pa.Schema, row_index: bo
             if len(kept):
                 columns = list(decode_rows(raw, list(piece.fields), kept, wanted, inner).columns) if wanted else []
                 if row_index:
-                    columns.append(pa.array(np.arange(at + gone, at + len(starts)), pa.int64()))
+                    columns.append(pa.array(np.arange(before + at + gone, before + at + len(starts)), pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema) if columns else pa.RecordBatch.from_struct_array(pa.array([{}] * len(kept), pa.struct([])))
             at += len(starts)
 

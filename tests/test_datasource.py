@@ -36,6 +36,19 @@ def test_limit_reads_few_blocks(spark, numbers):
     assert sb.scan(spark, numbers, limit=1000).rdd.getNumPartitions() == 1
 
 
+def test_sorted_rows_in_many_files(spark, tmp_path):
+    """Offsets, limits and numbers of the table go over all files in a row, in the order of the partitions."""
+    path = str(tmp_path / "many")
+    sb.write(spark.range(0, 1000, 1, 12).repartitionByRange(12, F.desc("id")).sortWithinPartitions(F.desc("id")), path)
+    assert len(list((tmp_path / "many").glob("*.rb"))) == 12
+    assert [r.id for r in sb.scan(spark, path, offset=10, limit=900).collect()] == list(range(989, 89, -1))
+    assert [tuple(r) for r in sb.scan(spark, path, row_index="k", row_index_of="table").collect()] == [(999 - k, k) for k in range(1000)]
+    assert [r.k for r in sb.scan(spark, path, offset=500, limit=3, row_index="k", row_index_of="table").collect()] == [500, 501, 502]
+    assert sb.scan(spark, path, row_index="k").filter("k = 0").count() == 12
+    with pytest.raises(ValueError, match="row_index_of"):
+        sb.scan(spark, path, row_index="k", row_index_of="folder")
+
+
 def test_unknown_column(spark, numbers):
     with pytest.raises(Exception, match="Unknown column in projection: nope"):
         sb.scan(spark, numbers, ["nope"]).count()

@@ -58,3 +58,24 @@ def test_comma_decimal_on_odd_values(spark, duck, tmp_path):
     got = catalogue.queries()["comma_decimal"](spark, str(tmp_path)).collect()
     want = duck.sql(catalogue.oracle_sql()["comma_decimal"].replace("FROM customer", "FROM odd_customer")).fetchall()
     assert canon(map(tuple, got)) == canon(want) and len(want) == len(values)
+
+
+@pytest.mark.parametrize("name", ["limit_prefix", "offset_limit_slice", "row_numbers"])
+def test_sorted_rows_are_written_by_many_tasks(spark, duck, monkeypatch, name):
+    files, scan = [], catalogue.scan
+
+    def seen(spark, path, *args, **options):
+        files.extend(os.listdir(path) if os.path.isdir(path) else [path])
+        return scan(spark, path, *args, **options)
+
+    monkeypatch.setattr(catalogue, "scan", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = catalogue.queries()[name](spark, SMALL)
+        rows, columns = df.collect(), df.columns
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in files if f.endswith(".rb")]) > 1
+    found = duck.sql(catalogue.oracle_sql()[name])
+    places = [found.columns.index(c) for c in columns]
+    assert sorted(map(tuple, rows)) == sorted(tuple(r[p] for p in places) for r in found.fetchall())
