@@ -279,6 +279,18 @@ def test_without_index_and_uncompressed_records(tmp_path):
     assert read(tmp_path / "c.rb").equals(table)
 
 
+def test_numbers_over_many_files(tmp_path):
+    """Each piece knows how many records the files before its own have, also with an offset and a limit."""
+    for k, n in enumerate((3, 0, 70_000, 5)):
+        write(tmp_path / f"{k}.rb", [Field("id", "Int32")], pa.table({"id": pa.array(range(n), pa.int32())}))
+    infos = files.read_infos(files.list_files(str(tmp_path)))
+    assert [p.before + p.first_record for p in files.plan(infos)] == [0, 3, 3 + 65_536, 70_003]
+    assert [(p.before + p.first_record, p.take) for p in files.plan(infos, 65_538, 4467)] == [(65_538, 1), (65_539, 4464), (70_003, 2)]
+    schema = pa.schema([("id", pa.int32()), ("k", pa.int64())])
+    got = [b for p in files.plan(infos, 70_000, 5) for b in files.read_piece(p, [0], schema, True, before=p.before)]
+    assert pa.Table.from_batches(got).column("k").to_pylist() == list(range(70_000, 70_005))
+
+
 def test_headers(tmp_path):
     write(tmp_path / "a.rb", [Field("id", "Int32")], pa.table({"id": pa.array([1], pa.int32())}))
     good = (tmp_path / "a.rb").read_bytes()
