@@ -228,14 +228,14 @@ class FileWriter:
             part = batch.slice(0, BLOCK_RECORDS - self.count)
             while part.num_rows > 1 and part.nbytes > ENCODE_BYTES:
                 part = part.slice(0, part.num_rows // 2)
+            if self.size + part.nbytes > ENCODE_BYTES:
+                self._encode()
             self.held.append(part)
             self.size += part.nbytes
             self.count += part.num_rows
             batch = batch.slice(part.num_rows)
             if self.count == BLOCK_RECORDS:
                 self._flush()
-            elif self.size >= ENCODE_BYTES:
-                self._encode()
 
     def _encode(self) -> None:
         """Writes all whole chunks; chunks don't end with runs of rows, so that the file is the same whatever the runs."""

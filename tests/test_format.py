@@ -279,6 +279,52 @@ def test_without_index_and_uncompressed_records(tmp_path):
     assert read(tmp_path / "c.rb").equals(table)
 
 
+def test_tokens_by_doubling_are_those_of_a_plain_walk():
+    """Arrow decodes the same references: of rows, of long and overlapping repeats, of noise; wrong ones are told."""
+    rng = random.Random(3)
+    rows = b"".join(struct.pack("<qqd", i // 4, rng.randrange(50), rng.randrange(10**6) / 100) for i in range(9000))
+    for data in (rows, b"a" * 200_000, b"abc" * 50_000 + rows[:5000], bytes(rng.randrange(256) for _ in range(5000)) * 3, b"xy" * 5000 + b"z" * 70_000):
+        packed = lzf.lzf_compress(data)
+        assert lzf.lzf_decompress(packed) == lzf._by_token(packed) == data
+        made, n = lzf._as_snappy(packed)
+        assert n == len(data) and pa.Codec("snappy").decompress(made, n).to_pybytes() == data
+    literals = b"".join(b"\x1f" + bytes(32) for _ in range(100))
+    with pytest.raises(ValueError):
+        lzf.lzf_decompress(b"\x00a\x20\x09" + literals)
+    assert lzf.lzf_decompress(literals[:-5]) == lzf._by_token(literals[:-5])
+
+
+def test_a_block_of_rows_takes_little_time():
+    """Against the plain walk over the same tokens, so that the machine doesn't count."""
+    import time
+
+    rng = random.Random(3)
+    data = b"".join(struct.pack("<qqidd", i // 4, rng.randrange(20_000), i % 7, rng.randrange(50), rng.randrange(10**6) / 100) for i in range(7000))
+    packed = lzf.lzf_compress(data)
+    spent = {}
+    for f in (lzf.lzf_decompress, lzf._by_token) * 5:
+        began = time.perf_counter()
+        f(packed)
+        spent[f] = min(spent.get(f, 9), time.perf_counter() - began)
+    assert spent[lzf.lzf_decompress] < 0.9 * spent[lzf._by_token]
+
+
+def test_texts_at_once_are_those_one_by_one(monkeypatch):
+    from stratablock.sources import records
+
+    values = ["", None, "abc", "é", "日本😀", "x" * 300, "", "a\0b", None, "😀" * 40, ""]
+    array = pa.array([*values, "cut off"])
+    for kind, size in (("V_WString", 300), ("WString", 300), ("V_String", 300), ("String", 300), ("V_WString", 50), ("V_String", 50)):
+        for part in (array, array.slice(1, 9), array.slice(3, 0), array.slice(0, 5), pa.array([None, None], pa.string())):
+            got = records._text_bytes(part, Field("v", kind, size))
+            with monkeypatch.context() as m:
+                m.setattr(records, "_all_at_once", lambda *_: None)
+                want = records._text_bytes(part, Field("v", kind, size))
+            assert got[0] == want[0] and got[1].tolist() == want[1].tolist()
+    blobs = pa.array([b"", None, b"ab", b"\0"])
+    assert records._all_at_once(blobs.slice(1), Field("v", "Blob"))[0] == b"ab\0"
+
+
 def test_numbers_over_many_files(tmp_path):
     """Each piece knows how many records the files before its own have, also with an offset and a limit."""
     for k, n in enumerate((3, 0, 70_000, 5)):
