@@ -194,6 +194,13 @@ def cut_text(c: Column, size: int) -> Column:
 _TEXT = {"String", "WString", "V_String", "V_WString"}
 _DATED = {"Date", "Time", "DateTime"}
 
+#: As by text, which has years from 1400 to 9999 only.
+_DIRECT = {
+    ("Date", "DateTime"): lambda c: c.cast("timestamp_ntz"),
+    ("DateTime", "Date"): lambda c: c.cast("date"),
+    ("DateTime", "Time"): lambda c: F.date_format(c, "HH:mm:ss"),
+}
+
 
 def convert(c: Column, source: Field, target: Field, separator: str = ".") -> Column:
     """A column of the source's type as the target's."""
@@ -223,6 +230,9 @@ def convert(c: Column, source: Field, target: Field, separator: str = ".") -> Co
             raise ConversionError(f"{s} doesn't convert to {t}")
         text = datetime_to_string(c) if s == "DateTime" else c.cast("string")
         out = {"Date": string_to_date, "Time": string_to_time, "DateTime": string_to_datetime}[t](text)
+        if (s, t) in _DIRECT:
+            # columns of that type need no text between; a field's type may also be told of text
+            out = F.when(F.typeof(c).isin("date" if s == "Date" else "timestamp_ntz", "timestamp"), F.when(F.year(c).between(1400, 9999), _DIRECT[s, t](c))).otherwise(out)
     elif t == "Bool":
         out = c if s == "Bool" else string_to_bool(c) if s in _TEXT | _DATED else number_to_bool(c)
     elif t in RANGES:

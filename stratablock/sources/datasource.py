@@ -36,8 +36,9 @@ from .fields import Field, from_spark
 from .files import SUFFIX, FileInfo, Piece, file_system, list_files, plan, read_info, read_infos, read_piece, write_file
 
 NAME = "rowblock"
-#: A larger table has more blocks in each partition, so that a driver can hold the list of them; blocksPerPartition overrides it.
-MAX_PARTITIONS = 100_000
+#: A table of twice as many blocks or more has several in each partition, about so many partitions in all: what a task costs
+#: besides its rows doesn't grow with the table, nor does the driver's list of them.  blocksPerPartition overrides it.
+PARTITIONS = 256
 
 
 def wanted_columns(text: str | None) -> list[str] | None:
@@ -108,7 +109,7 @@ class RowBlockReader(DataSourceReader):
         o = {k.lower(): v for k, v in self.options.items()}
         infos = load_infos(o["path"])
         blocks = sum(len(i.blocks) for i in infos)
-        each = int(o.get("blocksperpartition", max(1, -(-blocks // MAX_PARTITIONS))))
+        each = int(o.get("blocksperpartition", max(1, blocks // PARTITIONS)))
         pieces = plan(infos, int(o.get("offset", 0)), int(o["limit"]) if "limit" in o else None, each)
         return [PiecePartition(i, p) for i, p in enumerate(pieces)] or [PiecePartition(0)]
 

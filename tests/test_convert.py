@@ -97,3 +97,18 @@ def test_exact_decimals_keep_their_digits_as_text(spark):
     got = df.select(C.convert(F.col("v"), Field("v", "FixedDecimal", 22, 2), TEXT, ",").alias("s"))
     assert [r.s for r in got.collect()] == ["123456789012345678,91", "-0,10", "0,00", None]
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind,source,target", [("date", "Date", "DateTime"), ("timestamp_ntz", "DateTime", "Date"), ("timestamp_ntz", "DateTime", "Time"), ("timestamp", "DateTime", "Date"), ("timestamp", "DateTime", "Time")])
+def test_dates_convert_without_text_between(spark, kind, source, target):
+    """The same values as by their text, years out of range too; no pattern is matched row by row."""
+    texts = ["2024-02-29 23:59:59.999999", "1400-01-01 00:00:00", "1399-12-31 23:59:59", "9999-12-31 12:00:00", "0001-01-01 01:02:03", "1969-12-31 23:59:59.5", "1582-10-04 06:00:00", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, s string").select("i", F.col("s").cast("timestamp_ntz").cast(kind).alias("v"))
+    df = df.unionByName(spark.range(1).select(F.lit(99).alias("i"), F.expr(f"CAST(TIMESTAMP_NTZ'9999-12-31 23:00:00' + INTERVAL 2 HOURS AS {kind})").alias("v"))).orderBy("i")
+    c, f, t = F.col("v"), Field("v", source), Field("v", target)
+    by_text = {"Date": C.string_to_date, "Time": C.string_to_time, "DateTime": C.string_to_datetime}[target](C.datetime_to_string(c) if source == "DateTime" else c.cast("string"))
+    got = df.select(C.convert(c, f, t).alias("out"))
+    assert got.collect() == df.select(by_text.alias("out")).collect()
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+    told = spark.createDataFrame([("2024-02-29",), ("2024-02-30",), ("x",)], "v string").select(C.convert(c, Field("v", "Date"), Field("v", "DateTime")).alias("d"))
+    assert [r.d for r in told.collect()] == [dt.datetime(2024, 2, 29), None, None]

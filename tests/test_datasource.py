@@ -21,6 +21,21 @@ def test_partitions_follow_blocks(spark, numbers):
     assert sb.scan(spark, numbers, blocks_per_partition=2).rdd.getNumPartitions() == 2
 
 
+def test_partitions_of_large_tables_hold_several_blocks(monkeypatch):
+    from stratablock.sources import datasource
+    from stratablock.sources.files import FileInfo
+
+    def planned(blocks, **options):
+        info = FileInfo("f", (Field("id", "Int32"),), blocks * 65_536 - 7, True, 600, tuple(range(600, 600 + blocks)), True)
+        monkeypatch.setattr(datasource, "load_infos", lambda path: [info])
+        pieces = [p.piece for p in datasource.RowBlockReader(None, {"path": "f", **options}).partitions()]
+        assert sum(p.take for p in pieces) == info.records and [p.at for p in pieces] == sorted(p.at for p in pieces)
+        return len(pieces)
+
+    assert [planned(n) for n in (1, 300, 511, 512, 5000)] == [1, 300, 511, 256, 264]
+    assert planned(5000, blocksPerPartition="1") == 5000
+
+
 def test_options_equal_operators(spark, numbers):
     whole = sb.scan(spark, numbers)
     assert sb.scan(spark, numbers, ["x", "id"]).columns == ["x", "id"]
